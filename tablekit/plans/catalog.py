@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "tablekit.plans.profile_queries",
+    "tablekit.plans.validate_queries",
 ]
 
 
