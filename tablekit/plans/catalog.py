@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "tablekit.plans.profile_queries",
     "tablekit.plans.validate_queries",
+    "tablekit.plans.feature_queries",
 ]
 
 
@@ -23,6 +24,33 @@ def all_queries():
     return _load()[0]
 
 
+def _positive_zero_rounds(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB keeps the sign
+    of a rounded-away negative (-0.0), Spark's decimal rounding does not."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero_rounds(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def all_oracle_sql():
     q, o = _load()
-    return {k: v for k, v in o.items() if k in q}
+    return {k: _positive_zero_rounds(v) for k, v in o.items() if k in q}
