@@ -8,6 +8,7 @@ _MODULES = [
     "tablekit.plans.profile_queries",
     "tablekit.plans.validate_queries",
     "tablekit.plans.feature_queries",
+    "tablekit.plans.retrieve_queries",
 ]
 
 
