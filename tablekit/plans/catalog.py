@@ -9,6 +9,7 @@ _MODULES = [
     "tablekit.plans.validate_queries",
     "tablekit.plans.feature_queries",
     "tablekit.plans.retrieve_queries",
+    "tablekit.plans.event_queries",
 ]
 
 
@@ -25,20 +26,19 @@ def all_queries():
     return _load()[0]
 
 
-def _positive_zero_rounds(sql: str) -> str:
-    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB keeps the sign
-    of a rounded-away negative (-0.0), Spark's decimal rounding does not."""
-    out, i, low = [], 0, sql.lower()
+def _wrap_calls(sql: str, fname: str, template: str) -> str:
+    """Rewrite every call ``fname(...)`` as ``template.format(call=...)``."""
+    out, i, low, n = [], 0, sql.lower(), len(fname) + 1
     while True:
-        j = low.find("round(", i)
-        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
-            if j < 0:
-                out.append(sql[i:])
-                return "".join(out)
-            out.append(sql[i:j + 6])
-            i = j + 6
+        j = low.find(fname + "(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + n])
+            i = j + n
             continue
-        depth, k = 0, j + 5
+        depth, k = 0, j + n - 1
         while k < len(sql):
             if sql[k] == "(":
                 depth += 1
@@ -47,11 +47,21 @@ def _positive_zero_rounds(sql: str) -> str:
                 if depth == 0:
                     break
             k += 1
-        inner = _positive_zero_rounds(sql[j + 6:k])
-        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        inner = _wrap_calls(sql[j + n:k], fname, template)
+        out.append(sql[i:j] + template.format(call=sql[j:j + n] + inner + ")"))
         i = k + 1
 
 
+def _normalise(sql: str) -> str:
+    """Make DuckDB result types match Spark's: rounded values never -0.0
+    (DuckDB keeps the sign of a rounded-away negative), counts as BIGINT
+    (DuckDB's count_if / json_array_length give HUGEINT / UBIGINT)."""
+    sql = _wrap_calls(sql, "round", "({call} + 0.0)")
+    sql = _wrap_calls(sql, "count_if", "cast({call} as bigint)")
+    sql = _wrap_calls(sql, "json_array_length", "cast({call} as bigint)")
+    return sql
+
+
 def all_oracle_sql():
     q, o = _load()
-    return {k: _positive_zero_rounds(v) for k, v in o.items() if k in q}
+    return {k: _normalise(v) for k, v in o.items() if k in q}
