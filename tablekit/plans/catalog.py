@@ -10,6 +10,7 @@ _MODULES = [
     "tablekit.plans.feature_queries",
     "tablekit.plans.retrieve_queries",
     "tablekit.plans.event_queries",
+    "tablekit.plans.scan_queries",
 ]
 
 
