@@ -78,6 +78,26 @@ def tokenize_keyword(chunks: DataFrame, id_col: str = "chunk_id", text_col: str
     return term_counts(chunks, id_col, keyword_tokens(F.col(text_col))).drop("doc_len")
 
 
+QUERY_BROADCAST_MAX_TERMS = 4_000_000
+
+
+def query_batch_fits_broadcast(queries: DataFrame, text_col: str = "text",
+                               max_terms: int = QUERY_BROADCAST_MAX_TERMS) -> bool:
+    """Size check for the query side: one aggregate over the query table.
+    Query-term tables (unigrams + bigrams) have at most 2 × tokens rows and the
+    per-query maxima one row per query, so both are bounded by this count."""
+    r = queries.agg(F.count(F.lit(1)).alias("n"),
+                    F.sum(F.size(word_tokens(F.col(text_col))) +
+                          F.size(keyword_tokens(F.col(text_col)))).alias("t")).first()
+    return (r["n"] or 0) <= max_terms and 2 * (r["t"] or 0) <= max_terms
+
+
+def _maybe_broadcast(df: DataFrame, small: bool | None) -> DataFrame:
+    if small is None:
+        return bounded_broadcast(df)
+    return F.broadcast(df) if small else df
+
+
 # ---------------------------------------------------------------------------
 # R2: BM25 index
 # ---------------------------------------------------------------------------
@@ -118,12 +138,12 @@ def query_terms(queries: DataFrame, tokens: Column, id_col: str = "query_id",
 
 
 def bm25_score(index: BM25Index, queries: DataFrame, id_col: str = "query_id",
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text", small_queries: bool | None = None) -> DataFrame:
     """(query_id, chunk_id, bm25) for every chunk sharing a term with the query."""
     qt = query_terms(queries, keyword_tokens(F.col(text_col)), id_col)
     qw = (qt.join(index.terms, "term")              # query vocabulary only
             .select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("__qw")))
-    qw = bounded_broadcast(qw)
+    qw = _maybe_broadcast(qw, small_queries)
     k1, b = F.lit(BM25_K1), F.lit(BM25_B)
     tf, dl = F.col("tf"), F.col("doc_len")
     part = (index.postings.join(qw, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
@@ -139,10 +159,19 @@ def bm25_score(index: BM25Index, queries: DataFrame, id_col: str = "query_id",
 
 @dataclass
 class TfidfIndex:
-    postings: DataFrame    # term, chunk_id, w (L2-normalised per chunk)
+    counts: DataFrame      # term, chunk_id, tf
     terms: DataFrame       # term, df, idf (after the max-df cut)
+    norms: DataFrame       # chunk_id, norm (L2 norm of the chunk's weight vector)
     stats: DataFrame       # one row: n_docs
 
+    @property
+    def postings(self) -> DataFrame:
+        """R5 weights ``(term, chunk_id, w)``, L2-normalised per chunk."""
+        return (self.counts.join(self.terms.select("term", "idf"), "term")
+                    .join(self.norms, "chunk_id")
+                    .select("term", "chunk_id",
+                            ((1 + F.log("tf")) * F.col("idf") / F.col("norm")).alias("w")))
+
 
 def tfidf_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
                 max_df: float = TFIDF_MAX_DF) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,31 +188,38 @@ def tfidf_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
 
 def tfidf_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
                 max_df: float = TFIDF_MAX_DF) -> TfidfIndex:
-    """(1 + ln tf) · idf, L2-normalised per chunk."""
+    """Weights (1 + ln tf) · idf; the per-chunk L2 norms are an aggregate
+    (no sort), applied only to the postings a query touches."""
     counts, terms, stats = tfidf_terms(chunks, id_col, text_col, max_df)
     w = (counts.join(terms.select("term", "idf"), "term")
-               .select("term", "chunk_id", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
-    norm = w.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm"))
-    post = w.join(norm, "chunk_id").select("term", "chunk_id", (F.col("w") / F.col("__norm")).alias("w"))
-    return TfidfIndex(post, terms, stats)
+               .select("chunk_id", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
+    norms = w.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return TfidfIndex(counts, terms, norms, stats)
 
 
 def tfidf_query_vectors(index: TfidfIndex, queries: DataFrame, id_col: str = "query_id",
                         text_col: str = "text") -> DataFrame:
+    """Query weights ``(query_id, term, wq, idf)``, L2-normalised per query."""
     qt = query_terms(queries, word_tokens(F.col(text_col)), id_col, bigrams=True)
     w = (qt.join(index.terms.select("term", "idf"), "term")
-           .select("query_id", "term", ((1 + F.log("qtf")) * F.col("idf")).alias("w")))
+           .select("query_id", "term", "idf", ((1 + F.log("qtf")) * F.col("idf")).alias("w")))
     nq = Window.partitionBy("query_id")   # rows of one query: its distinct terms
-    return w.select("query_id", "term",
+    return w.select("query_id", "term", "idf",
                     (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(nq))).alias("wq"))
 
 
 def tfidf_cosine(index: TfidfIndex, queries: DataFrame, id_col: str = "query_id",
-                 text_col: str = "text") -> DataFrame:
-    """(query_id, chunk_id, tfidf) — sparse dot product as a join on term."""
-    qv = bounded_broadcast(tfidf_query_vectors(index, queries, id_col, text_col))
-    return (index.postings.join(qv, "term")
-                 .groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("wq")).alias("tfidf")))
+                 text_col: str = "text", small_queries: bool | None = None) -> DataFrame:
+    """(query_id, chunk_id, tfidf) — sparse dot product as a join on term.
+
+    The raw counts are streamed against the (broadcast) query vectors, so only
+    postings of query terms go on; they meet the chunk norms afterwards."""
+    qv = _maybe_broadcast(tfidf_query_vectors(index, queries, id_col, text_col), small_queries)
+    dots = (index.counts.join(qv, "term")
+                 .groupBy("query_id", "chunk_id")
+                 .agg(F.sum((1 + F.log("tf")) * F.col("idf") * F.col("wq")).alias("__dot")))
+    return dots.join(index.norms, "chunk_id").select(
+        "query_id", "chunk_id", (F.col("__dot") / F.col("norm")).alias("tfidf"))
 
 
 # ---------------------------------------------------------------------------
@@ -200,7 +236,7 @@ def pair_scores(bm25: DataFrame | None, tfidf: DataFrame) -> DataFrame:
 
 
 def hybrid_score(pairs: DataFrame, group: list[str] = ("query_id",),
-                 alpha: float = HYBRID_ALPHA) -> DataFrame:
+                 alpha: float = HYBRID_ALPHA, small_queries: bool | None = None) -> DataFrame:
     """Each score ÷ its maximum inside the group (max 0 → 1), then
     α·BM25 + (1 − α)·TF-IDF; TF-IDF alone when BM25 is absent.
 
@@ -209,7 +245,7 @@ def hybrid_score(pairs: DataFrame, group: list[str] = ("query_id",),
     """
     group = list(group)
     mx = pairs.groupBy(*group).agg(F.max("bm25").alias("__mb"), F.max("tfidf").alias("__mt"))
-    mx = bounded_broadcast(mx)
+    mx = _maybe_broadcast(mx, small_queries)
 
     def norm(c, m):
         m = F.greatest(F.col(m), F.lit(0.0))
@@ -240,12 +276,20 @@ class Retriever:
     def build(cls, chunks: DataFrame, use_bm25: bool = True) -> "Retriever":
         return cls(chunks, bm25_index(chunks) if use_bm25 else None, tfidf_index(chunks))
 
+    def _small(self, queries: DataFrame) -> bool:
+        # checked once per query table; every query-keyed side is bounded by it
+        cache = self.__dict__.setdefault("_budget", {})
+        if id(queries) not in cache:
+            cache[id(queries)] = query_batch_fits_broadcast(queries)
+        return cache[id(queries)]
+
     def pairs(self, queries: DataFrame) -> DataFrame:
-        b = bm25_score(self.bm25, queries) if self.bm25 is not None else None
-        return pair_scores(b, tfidf_cosine(self.tfidf, queries))
+        small = self._small(queries)
+        b = bm25_score(self.bm25, queries, small_queries=small) if self.bm25 is not None else None
+        return pair_scores(b, tfidf_cosine(self.tfidf, queries, small_queries=small))
 
     def hybrid(self, queries: DataFrame) -> DataFrame:
-        return hybrid_score(self.pairs(queries))
+        return hybrid_score(self.pairs(queries), small_queries=self._small(queries))
 
     def retrieve(self, queries: DataFrame, k: int = TOP_K, tag: str | None = None) -> DataFrame:
         """R8 (optionally inside one tag): query_id, rank, chunk_id, score."""
@@ -253,7 +297,8 @@ class Retriever:
         if tag is not None:
             tagged = self.chunks.where(F.array_contains("tags", tag)).select("chunk_id")
             pairs = pairs.join(tagged, "chunk_id", "left_semi")
-        return top_k(hybrid_score(pairs), k).select("query_id", "rank", "chunk_id", "score")
+        return top_k(hybrid_score(pairs, small_queries=self._small(queries)), k).select(
+            "query_id", "rank", "chunk_id", "score")
 
     def retrieve_for_roles(self, queries: DataFrame, role_tags: DataFrame,
                            k: int = TOP_K) -> DataFrame:
@@ -265,7 +310,8 @@ class Retriever:
         ct = (self.chunks.select("chunk_id", F.explode(F.array_distinct("tags")).alias("tag"))
                   .join(F.broadcast(role_tags.select("tag").distinct()), "tag"))
         tagged = pairs.join(ct, "chunk_id")
-        per_tag = top_k(hybrid_score(tagged, ["query_id", "tag"]), k, ["query_id", "tag"])
+        per_tag = top_k(hybrid_score(tagged, ["query_id", "tag"], small_queries=self._small(queries)),
+                        k, ["query_id", "tag"])
         texts = self.chunks.select("chunk_id", F.sha2("text", 256).alias("__th"))
         cand = (per_tag.join(texts, "chunk_id")
                        .join(F.broadcast(role_tags), "tag"))

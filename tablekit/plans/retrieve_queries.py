@@ -55,14 +55,16 @@ def _pairs_rounded(df, col):
 QUERIES = {
     "tokenize_keyword": lambda s, d: R.tokenize_keyword(V.chunks(s, d)),
     "bm25_index": _bm25_index,
-    "bm25_score": lambda s, d: _pairs_rounded(
-        R.bm25_score(R.bm25_index(V.chunks(s, d)), V.queries(s, d)), "bm25"),
+    "bm25_score": lambda s, d: (lambda q: _pairs_rounded(R.bm25_score(
+        R.bm25_index(V.chunks(s, d)), q, small_queries=R.query_batch_fits_broadcast(q)), "bm25"))(
+        V.queries(s, d)),
     "tfidf_terms": lambda s, d: R.tfidf_terms(V.chunks(s, d))[1].select(
         "term", "df", F.round("idf", 6).alias("idf")),
     "tfidf_weights": lambda s, d: R.tfidf_index(V.chunks(s, d)).postings.select(
         "chunk_id", "term", F.round("w", 6).alias("w")),
-    "tfidf_cosine": lambda s, d: _pairs_rounded(
-        R.tfidf_cosine(R.tfidf_index(V.chunks(s, d)), V.queries(s, d)), "tfidf"),
+    "tfidf_cosine": lambda s, d: (lambda q: _pairs_rounded(R.tfidf_cosine(
+        R.tfidf_index(V.chunks(s, d)), q, small_queries=R.query_batch_fits_broadcast(q)), "tfidf"))(
+        V.queries(s, d)),
     "hybrid_score": lambda s, d: _pairs_rounded(_retriever(s, d).hybrid(V.queries(s, d)), "score"),
     "retrieve_topk": lambda s, d: _retriever(s, d).retrieve(V.queries(s, d)),
     "retrieve_tag": lambda s, d: _retriever(s, d).retrieve(V.queries(s, d), tag="en"),

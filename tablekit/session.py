@@ -63,11 +63,25 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return path
 
 
+def spread_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has task
+    slots (e.g. a file written as a single row group) so the first stage runs
+    in parallel. Planning only, no job; a no-op for large, many-split inputs."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spread_narrow(spark.read.parquet(path))
+
+
 def load_tables(spark: SparkSession, sf_dir: str,
                 names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet"))
-            for n in names}
+    return {n: read_parquet(spark, os.path.join(sf_dir, f"{n}.parquet")) for n in names}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"))
