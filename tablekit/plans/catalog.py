@@ -11,6 +11,7 @@ _MODULES = [
     "tablekit.plans.retrieve_queries",
     "tablekit.plans.event_queries",
     "tablekit.plans.scan_queries",
+    "tablekit.plans.model_queries",
 ]
 
 
