@@ -12,6 +12,7 @@ _MODULES = [
     "tablekit.plans.event_queries",
     "tablekit.plans.scan_queries",
     "tablekit.plans.model_queries",
+    "tablekit.plans.source_queries",
 ]
 
 
