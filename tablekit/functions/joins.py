@@ -44,3 +44,28 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
                   .join(F.broadcast(offsets), "__pid")
                   .withColumn(name, (F.col("__off") + F.col("__local") - 1).cast("bigint"))
                   .drop("__pid", "__local", "__off"))
+
+
+def group_positions(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                    name: str = "pos", partitions: int | None = None) -> DataFrame:
+    """0-based position of each row inside its group following ``order_cols``
+    (unique within a group), without a window over a whole group.
+
+    The rows are range-partitioned on (group, order) — a hot group is spread
+    over many partitions by its order values — numbered inside each
+    (partition, group), and shifted by the rows of the same group in earlier
+    partitions (a table with one row per (partition, group))."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = list(group_cols)
+    ranged = (df.repartitionByRange(n, *g, *order_cols)
+                .withColumn("__pid", F.spark_partition_id())
+                .persist())
+    counts = ranged.groupBy("__pid", *g).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*g).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", *g, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    local = F.row_number().over(Window.partitionBy("__pid", *g).orderBy(*order_cols))
+    return (ranged.withColumn("__local", local)
+                  .join(offsets, ["__pid", *g])      # one row per (partition, group)
+                  .withColumn(name, (F.col("__off") + F.col("__local") - 1).cast("bigint"))
+                  .drop("__pid", "__local", "__off"))

@@ -13,6 +13,7 @@ _MODULES = [
     "tablekit.plans.scan_queries",
     "tablekit.plans.model_queries",
     "tablekit.plans.source_queries",
+    "tablekit.plans.extra_queries",
 ]
 
 

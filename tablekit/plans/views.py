@@ -34,13 +34,15 @@ def train_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part")
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
            .join(p, li.l_partkey == p.p_partkey))
-    target = F.round(
-        F.col("l_quantity") * F.col("p_retailprice") * (1 - F.col("l_discount")) / 1000
-        + F.lit(0.5) * F.regexp_extract("p_brand", "[0-9]+", 0).cast("int"), 4)
+    # not rounded: rounding at 4 decimals would hit half-way cases that the
+    # engines round apart (decimal vs binary half-up)
+    target = (F.col("l_quantity") * F.col("p_retailprice") * (1 - F.col("l_discount")) / 1000
+              + F.lit(0.5) * F.regexp_extract("p_brand", "[0-9]+", 0).cast("int"))
     return j.select(
         lineitem_key().alias("row_key"),
         target.alias("target"),
-        F.round(target * 1.01 + F.col("l_tax"), 4).alias("leaky"),
+        # not rounded: a rounded copy would hit half-way cases that engines round apart
+        (target * 1.01 + F.col("l_tax")).alias("leaky"),
         "l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice",
         "p_brand", "p_type", "o_orderpriority", "o_orderstatus",
         F.col("o_orderdate").cast("timestamp").alias("last_dt"),
@@ -167,10 +169,10 @@ LI_KEY_DUCK = ("concat_ws('-', cast(l_orderkey as varchar), cast(l_linenumber as
 DUCK_VIEWS: dict[str, str] = {
     "train_view": f"""
       select {LI_KEY_DUCK} as row_key,
-             round(l_quantity*p_retailprice*(1-l_discount)/1000
-                   + 0.5*cast(regexp_extract(p_brand,'[0-9]+',0) as integer), 4) as target,
-             round(round(l_quantity*p_retailprice*(1-l_discount)/1000
-                   + 0.5*cast(regexp_extract(p_brand,'[0-9]+',0) as integer), 4)*1.01 + l_tax, 4) as leaky,
+             l_quantity*p_retailprice*(1-l_discount)/1000
+                   + 0.5*cast(regexp_extract(p_brand,'[0-9]+',0) as integer) as target,
+             (l_quantity*p_retailprice*(1-l_discount)/1000
+                   + 0.5*cast(regexp_extract(p_brand,'[0-9]+',0) as integer))*1.01 + l_tax as leaky,
              l_quantity, l_discount, l_tax, p_size, p_retailprice,
              p_brand, p_type, o_orderpriority, o_orderstatus,
              cast(o_orderdate as timestamp) as last_dt, p_name as name
