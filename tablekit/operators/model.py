@@ -330,6 +330,20 @@ def _log_rule(train: DataFrame, label: str) -> bool:
     return bool(r["sk"] is not None and r["sk"] > 1 and r["mn"] is not None and r["mn"] >= 0)
 
 
+def encode_and_log(train: DataFrame, test: DataFrame, label: str, features: list[str], key: str):
+    """high-cardinality target encoding (out-of-fold on train, full-train
+    statistics on test), the log rule, and log1p of the label when it applies.
+    Returns (train, test, log_applied)."""
+    log = _log_rule(train, label)
+    tr, enc, _ = _encode_fit(train, label, features, key)
+    te = test
+    for e in enc:
+        te = e.transform(te)
+    if log:
+        tr = tr.withColumn(label, F.log1p(label))
+    return tr, te, log
+
+
 def fit_once(train: DataFrame, label: str, features: list[str], key: str, model: str,
              **overrides):
     """Encode + preprocess + (log target) + fit on ``train``."""

@@ -168,7 +168,23 @@ def _model_io(s, d):
     return M.evaluate_saved_model(s, path, df, LABEL, KEY)
 
 
+def _preprocess(s, d):
+    df = _model_table(s, d)
+    prep = M.fit_preprocess(df, _features(df))
+    mat = M.assemble(prep.transform(df), prep.feature_names)
+    return mat.agg(F.count(F.lit(1)).alias("n"), F.lit(len(prep.feature_names)).alias("n_features"))
+
+
+def _encode_and_log(s, d):
+    df = _model_table(s, d)
+    tr, te, log = M.encode_and_log(df, df.drop(LABEL), LABEL, _features(df), KEY)
+    return tr.select(KEY, LABEL, "p_brand").withColumn("log_applied", F.lit(log))
+
+
 QUERIES = {
+    "preprocess": _preprocess,
+    "encode_and_log": _encode_and_log,
+    "evaluate_saved_model": _model_io,
     "holdout_split": lambda s, d: M.holdout_split(V.train_view(s, d).select(KEY), KEY),
     "kfold_assign": lambda s, d: M.kfold_assign(V.train_view(s, d).select(KEY), KEY),
     "prediction_summary": lambda s, d: M.prediction_summary(_with_prediction(s, d)),

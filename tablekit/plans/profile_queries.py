@@ -98,7 +98,16 @@ def _corr_sql(src: str, target: str, cols) -> str:
     return S.union_all(parts)
 
 
+def _feature_summary(s, d):
+    from tablekit.operators import features as FE
+    df = FE.prepare_table(V.train_view(s, d), None, ["leaky"], indicator_cols=[])
+    return P.feature_summary(df, "target")
+
+
 QUERIES = {
+    "class_balance": lambda s, d: P.class_balance(table(s, d, "events"), "value"),
+    "full_profile": lambda s, d: P.full_profile(V.train_view(s, d), "target"),
+    "feature_summary": _feature_summary,
     "numeric_profile": lambda s, d: P.numeric_profile(table(s, d, "lineitem")),
     "numeric_profile_holes": lambda s, d: P.numeric_profile(
         V.holes(s, d), [c for c, _ in HOLES_NUM]),
@@ -122,7 +131,36 @@ QUERIES = {
 _ORDERS_CAT = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
 _PART_CAT = ["p_name", "p_brand", "p_type"]
 
+_FS_NUM = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice", "days_since_last_review",
+           "last_review_year", "last_review_month", "last_review_dow", "last_review_quarter",
+           "last_review_is_weekend", "last_review_month_sin", "last_review_month_cos",
+           "last_review_dow_sin", "last_review_dow_cos"]
+_FS_CAT = ["row_key", "p_brand", "p_type", "o_orderpriority", "o_orderstatus"]
+
+_TD_SQL = """select 'value' as target_column, round(avg(value),4) as mean,
+      round(quantile_cont(value,0.5),4) as median, round(stddev_samp(value),4) as std,
+      min(value) as min, max(value) as max, round(""" + S.skew("value") + """,4) as skew,
+      round(count_if(value = 0) / count(*) * 100, 2) as pct_zero,
+      round(quantile_cont(value,0.25),2) as p25, round(quantile_cont(value,0.5),2) as p50,
+      round(quantile_cont(value,0.75),2) as p75, round(quantile_cont(value,0.9),2) as p90,
+      round(quantile_cont(value,0.95),2) as p95 from events"""
+
 ORACLE = {
+    "feature_summary": duck_with("train_view") + f"""select count(*) as n_samples,
+      cast({len(_FS_NUM) + len(_FS_CAT)} as bigint) as n_features,
+      '{",".join(_FS_NUM)}' as numeric_columns, '{",".join(_FS_CAT)}' as categorical_columns,
+      round(avg(case when target = 0 then 1.0 else 0.0 end), 4) as pct_zero,
+      round(avg(case when target = 0 then 1.0 else 0.0 end), 4) > 0.15 as two_stage_recommended,
+      round({S.skew('target')}, 4) as skew,
+      round({S.skew('target')}, 4) > 1 and min(target) >= 0 as log_transform,
+      (select string_agg(c, ',' order by c) from (
+         select 'row_key' as c where (select count(distinct row_key) from train_view) > 10
+         union all select 'p_brand' where (select count(distinct p_brand) from train_view) > 10
+         union all select 'p_type' where (select count(distinct p_type) from train_view) > 10
+         union all select 'o_orderpriority' where (select count(distinct o_orderpriority) from train_view) > 10
+         union all select 'o_orderstatus' where (select count(distinct o_orderstatus) from train_view) > 10) h)
+        as high_cardinality
+      from train_view""",
     "numeric_profile": _num_profile_sql("lineitem", LINEITEM_NUM),
     "numeric_profile_holes": duck_with("holes") + _num_profile_sql("holes", HOLES_NUM),
     "categorical_profile": _cat_profile_sql("orders", _ORDERS_CAT),
@@ -133,13 +171,8 @@ ORACLE = {
         and t_null is not null and s_null is not null and rare is not null
         and not isnan(q_null) and not isnan(d_null) and not isnan(t_null)) as bigint) as complete_rows
       from holes""",
-    "target_distribution": """select 'value' as target_column, round(avg(value),4) as mean,
-      round(quantile_cont(value,0.5),4) as median, round(stddev_samp(value),4) as std,
-      min(value) as min, max(value) as max, round(""" + S.skew("value") + """,4) as skew,
-      round(count_if(value = 0) / count(*) * 100, 2) as pct_zero,
-      round(quantile_cont(value,0.25),2) as p25, round(quantile_cont(value,0.5),2) as p50,
-      round(quantile_cont(value,0.75),2) as p75, round(quantile_cont(value,0.9),2) as p90,
-      round(quantile_cont(value,0.95),2) as p95 from events""",
+    "target_distribution": _TD_SQL,
+    "class_balance": _TD_SQL,
     "target_correlation": duck_with("train_view") + f"""select column_name, round(r,4) as corr,
       cast(rank as bigint) as rank from (
         select *, row_number() over (order by abs(r) desc, column_name) as rank
