@@ -69,7 +69,10 @@ def term_counts(df: DataFrame, id_col: str, tokens: Column, out_id: str = "chunk
     t = df.select(F.col(id_col).alias(out_id), tokens.alias("__toks"))
     if bigrams:
         t = t.select(out_id, with_bigrams(F.col("__toks")).alias("__toks"))
-    return (t.select(out_id, F.size("__toks").alias("doc_len"), F.explode("__toks").alias("term"))
+    # explode_outer + explicit filter: a plain explode lets the optimizer infer
+    # size(tokens) > 0 and push that (the regex) below the repartition into the scan
+    return (t.select(out_id, F.size("__toks").alias("doc_len"), F.explode_outer("__toks").alias("term"))
+             .where(F.col("term").isNotNull())
              .groupBy(out_id, "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
 
 
