@@ -279,9 +279,24 @@ def median_impute(df: DataFrame, cols: list[str] | None = None,
                       for c in df.columns])
 
 
+def mode_of(df: DataFrame, col: str) -> DataFrame:
+    """One row: the most frequent non-null value of ``col`` (ties → smallest).
+
+    Counts per value are partially aggregated before the shuffle; the pick is
+    a bounded ``min_by`` over the counted values (``mode()`` would keep every
+    distinct value of the column in one aggregation buffer)."""
+    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
+    return vc.agg(F.min_by(F.col(col), F.struct((-F.col("__n")).alias("n"), F.col(col).alias("v")))
+                  .alias(col))
+
+
 def fit_modes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Most frequent value per column, ties → smallest value."""
-    return df.agg(*[F.mode(F.col(c), True).alias(c) for c in cols])
+    """Most frequent value per column, ties → smallest value (one row)."""
+    out = None
+    for c in cols:
+        m = mode_of(df, c)
+        out = m if out is None else out.crossJoin(m)
+    return out
 
 
 def mode_impute(df: DataFrame, cols: list[str] | None = None,

@@ -122,11 +122,12 @@ def fit_preprocess(train: DataFrame, features: list[str]) -> Prep:
     for c in num:
         x = clean(train, c).cast("double")
         aggs.append(F.percentile(x, 0.5).alias("med_" + c))
-    for c in cat:
-        aggs.append(F.mode(F.col(c).cast("string"), True).alias("mode_" + c))
     row = train.agg(*aggs).first() if aggs else {}
     med = {c: row["med_" + c] for c in num}
-    modes = {c: row["mode_" + c] for c in cat}
+    modes = {}
+    if cat:
+        mrow = FE.fit_modes(train.select(*[F.col(c).cast("string").alias(c) for c in cat]), cat).first()
+        modes = {c: mrow[c] for c in cat}
     if num:
         imp = [F.coalesce(clean(train, c).cast("double"), F.lit(med[c]).cast("double")).alias(c)
                for c in num]

@@ -165,8 +165,8 @@ def factorize_target(df: DataFrame, target: str, order_by: str) -> DataFrame:
     firsts = (df.where(F.col(target).isNotNull())
                 .groupBy(F.col(target).cast("string").alias("value"))
                 .agg(F.min(order_by).alias("first_seen")))
-    w = Window.orderBy("first_seen", "value")
-    return firsts.select("value", (F.row_number().over(w) - 1).cast("bigint").alias("code"))
+    from tablekit.functions.joins import dense_index
+    return dense_index(firsts, ["first_seen", "value"], "code").select("value", "code")
 
 
 def factorize_apply(df: DataFrame, target: str, codes: DataFrame) -> DataFrame:
