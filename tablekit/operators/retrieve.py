@@ -84,6 +84,20 @@ def tokenize_keyword(chunks: DataFrame, id_col: str = "chunk_id", text_col: str
 QUERY_BROADCAST_MAX_TERMS = 4_000_000
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an index table once to the shared checkpoint folder and read it
+    back (cuts the lineage; every later use scans the files instead of
+    re-tokenising the corpus)."""
+    from tablekit.session import checkpoint_dir
+    try:
+        checkpoint_dir(df.sparkSession)
+    except RuntimeError:          # no shared folder configured: keep it cached instead
+        df = df.persist()
+        df.count()
+        return df
+    return df.checkpoint(eager=True)
+
+
 def query_batch_fits_broadcast(queries: DataFrame, text_col: str = "text",
                                max_terms: int = QUERY_BROADCAST_MAX_TERMS) -> bool:
     """Size check for the query side: one aggregate over the query table.
@@ -125,9 +139,13 @@ def bm25_terms_from_df(term_df: DataFrame, n_docs: Column) -> DataFrame:
 
 def bm25_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> BM25Index:
     toks = keyword_tokens(F.col(text_col))
-    postings = term_counts(chunks, id_col, toks)
-    stats = chunks.agg(F.count(F.lit(1)).alias("n_docs"),
-                       F.avg(F.size(toks).cast("double")).alias("avgdl"))
+    # materialised once: the term table, the statistics and every scoring join
+    # read the postings with different column subsets (no exchange reuse between
+    # them), and each re-read would re-tokenise the corpus
+    postings = materialize(term_counts(chunks, id_col, toks))
+    n_docs = chunks.agg(F.count(F.lit(1)).alias("n_docs"))
+    stats = (postings.agg(F.sum("tf").alias("__tok")).crossJoin(n_docs)
+             .select("n_docs", (F.coalesce(F.col("__tok"), F.lit(0)) / F.col("n_docs")).alias("avgdl")))
     dfs = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = bm25_terms_from_df(dfs.crossJoin(F.broadcast(stats.select("n_docs"))), F.col("n_docs"))
     return BM25Index(postings, terms, stats)
@@ -179,7 +197,10 @@ class TfidfIndex:
 def tfidf_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
                 max_df: float = TFIDF_MAX_DF) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunk_id, term, tf) counts, the kept vocabulary (term, df, idf) and N."""
-    counts = term_counts(chunks, id_col, word_tokens(F.col(text_col)), bigrams=True).drop("doc_len")
+    # materialised once: read by the term table, the norms and the scoring join
+    counts = term_counts(chunks, id_col, word_tokens(F.col(text_col)), bigrams=True) \
+        .drop("doc_len")
+    counts = materialize(counts)
     stats = chunks.agg(F.count(F.lit(1)).alias("n_docs"))
     n = F.col("n_docs")
     terms = (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
