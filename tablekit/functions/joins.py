@@ -16,6 +16,21 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that several later plans read once to the shared
+    checkpoint folder (``spark.checkpoint.dir``) and read it back: cuts the
+    lineage (survives executor loss) and stops each reader from recomputing
+    it. Without a configured folder it is cached instead."""
+    from tablekit.session import checkpoint_dir
+    try:
+        checkpoint_dir(df.sparkSession)
+    except RuntimeError:
+        df = df.persist()
+        df.count()
+        return df
+    return df.checkpoint(eager=True)
+
+
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Persist ``small`` (an aggregate), count it, broadcast it only within the bound."""
     small = small.persist()

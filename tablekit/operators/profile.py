@@ -304,9 +304,10 @@ def feature_summary(df: DataFrame, target: str) -> DataFrame:
 def full_profile(df: DataFrame, target: str) -> DataFrame:
     """Every profile as one long table (section, column_name, stat, value, label).
 
-    The input is persisted once so the sections share a single scan.
+    The input is materialised once so the sections share a single scan.
     """
-    src = df.persist()
+    from tablekit.functions.joins import materialize
+    src = materialize(df)
     num = numeric_profile(src)
     stats = ["mean", "std", "min", "p25", "p50", "p75", "max", "skew", "kurtosis"]
     parts = [num.select(F.lit("numeric").alias("section"), "column_name",

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablekit.functions.joins import bounded_broadcast
+from tablekit.functions.joins import bounded_broadcast, materialize
 
 # BM25 Okapi defaults, TF-IDF settings, hybrid weight and top-k.
 BM25_K1 = 1.5
@@ -84,20 +84,6 @@ def tokenize_keyword(chunks: DataFrame, id_col: str = "chunk_id", text_col: str
 QUERY_BROADCAST_MAX_TERMS = 4_000_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an index table once to the shared checkpoint folder and read it
-    back (cuts the lineage; every later use scans the files instead of
-    re-tokenising the corpus)."""
-    from tablekit.session import checkpoint_dir
-    try:
-        checkpoint_dir(df.sparkSession)
-    except RuntimeError:          # no shared folder configured: keep it cached instead
-        df = df.persist()
-        df.count()
-        return df
-    return df.checkpoint(eager=True)
-
-
 def query_batch_fits_broadcast(queries: DataFrame, text_col: str = "text",
                                max_terms: int = QUERY_BROADCAST_MAX_TERMS) -> bool:
     """Size check for the query side: one aggregate over the query table.

@@ -287,6 +287,9 @@ def validation_report(train: DataFrame, target: str, test: DataFrame | None = No
     """All rule rows plus a verdict row; ``can_proceed`` is false when any
     row is critical. Columns: section, column_name, risk, severity, detail."""
     spark = train.sparkSession
+    # every rule is an aggregate over the same table: compute (join) it once
+    from tablekit.functions.joins import materialize
+    train = materialize(train)
     v1 = target_checks(train, target)
     parts = [
         v1.select(F.lit("target").alias("section"), F.lit(target).alias("column_name"),
