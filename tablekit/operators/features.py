@@ -180,6 +180,7 @@ def group_features(df: DataFrame, target: str | None = None, group_cols: list[st
     joined back. Groups are ≤ 50 by the fit rule, so the statistics side is
     broadcast; NULL keys get NULL statistics (pandas drops NULL keys)."""
     fit_df = fit_df if fit_df is not None else df
+    chosen = group_cols is None
     if group_cols is None or numeric_cols is None:
         g, n = choose_group_features(fit_df, target)
         group_cols = group_cols if group_cols is not None else g
@@ -190,7 +191,8 @@ def group_features(df: DataFrame, target: str | None = None, group_cols: list[st
                  .agg(*[x for n in numeric_cols for x in
                         (F.avg(clean(fit_df, n)).alias(f"{g}__{n}_mean"),
                          F.stddev_samp(clean(fit_df, n)).alias(f"{g}__{n}_std"))]))
-        out = out.join(F.broadcast(stats), g, "left")
+        # chosen columns have at most 50 groups; given ones are size-checked
+        out = out.join(F.broadcast(stats) if chosen else bounded_broadcast(stats), g, "left")
     return out
 
 

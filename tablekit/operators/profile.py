@@ -170,7 +170,8 @@ def factorize_target(df: DataFrame, target: str, order_by: str) -> DataFrame:
 
 
 def factorize_apply(df: DataFrame, target: str, codes: DataFrame) -> DataFrame:
-    return (df.join(F.broadcast(codes), F.col(target).cast("string") == F.col("value"), "left")
+    from tablekit.functions.joins import bounded_broadcast
+    return (df.join(bounded_broadcast(codes), F.col(target).cast("string") == F.col("value"), "left")
               .withColumn(target + "_code", F.coalesce(F.col("code"), F.lit(-1).cast("bigint")))
               .drop("value", "code"))
 
