@@ -201,3 +201,29 @@ def test_folds_partition_rows(spark):
     df = spark.range(0, 1000).select(F.col("id").cast("string").alias("k"))
     f = kfold_assign(holdout_split(df, "k"), "k").groupBy("fold").count().collect()
     assert sum(r["count"] for r in f) == 1000 and len(f) == 5
+
+
+def test_sort_quantiles_equal_map_quantiles(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"a": rng.integers(0, 7, 500).astype(float),     # many ties
+                        "b": rng.normal(0, 1, 500)})
+    pdf.loc[::17, "b"] = None
+    df = spark.createDataFrame(pdf)
+    m = {r["column_name"]: r for r in P.numeric_profile(df, method="map").collect()}
+    s = {r["column_name"]: r for r in P.numeric_profile(df, method="sort").collect()}
+    for c in ("a", "b"):
+        for k in ("p25", "p50", "p75", "mean", "max"):
+            assert s[c][k] == m[c][k]
+        assert s[c]["p50"] == round(pdf[c].quantile(0.5), 4)
+
+
+def test_sort_method_target_distribution_and_fences(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"y": rng.gamma(1.5, 2.0, 400), "z": rng.integers(0, 9, 400).astype(float)})
+    df = spark.createDataFrame(pdf)
+    a = P.target_distribution(df, "y", method="map").first()
+    b = P.target_distribution(df, "y", method="sort").first()
+    assert a == b
+    c = sorted(P.iqr_outliers(df, method="map").collect())
+    d = sorted(P.iqr_outliers(df, method="sort").collect())
+    assert c == d
