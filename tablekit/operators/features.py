@@ -263,11 +263,9 @@ def target_encode_apply(train: DataFrame, test: DataFrame, cat: str, target: str
 
 
 def fit_medians(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """One row of medians (exact ``percentile``; ``approx`` for large data)."""
-    if approx:
-        return df.agg(*[F.percentile_approx(clean(df, c), 0.5, 10000).cast("double").alias(c)
-                        for c in cols])
-    return df.agg(*[F.percentile(clean(df, c), 0.5).alias(c) for c in cols])
+    """One row of medians (exact; distributed positions on large inputs)."""
+    from tablekit.operators.profile import median_row
+    return median_row(df, cols, approx=approx)
 
 
 def median_impute(df: DataFrame, cols: list[str] | None = None,

@@ -118,11 +118,8 @@ def fit_preprocess(train: DataFrame, features: list[str]) -> Prep:
     modes, and sorted category codes (one aggregate + one small table per column)."""
     num = [c for c in numeric_columns(train) if c in features]
     cat = [c for c in other_columns(train) if c in features]
-    aggs = []
-    for c in num:
-        x = clean(train, c).cast("double")
-        aggs.append(F.percentile(x, 0.5).alias("med_" + c))
-    row = train.agg(*aggs).first() if aggs else {}
+    from tablekit.operators.profile import median_row
+    row = median_row(train, num, "med_").first() if num else {}
     med = {c: row["med_" + c] for c in num}
     modes = {}
     if cat:

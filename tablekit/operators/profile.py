@@ -71,6 +71,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], ps: list[float]) -> DataFram
                   .alias("q")))
 
 
+def median_row(df: DataFrame, cols: list[str], prefix: str = "", *, approx: bool = False,
+               method: str | None = None) -> DataFrame:
+    """One row of medians named ``prefix + column`` (map / approx / sort)."""
+    how = quantile_method(df, approx, method)
+    if how == "sort":
+        q = exact_quantiles(df, cols, [0.5])
+        return q.agg(*[F.first(F.when(F.col("column_name") == c, F.col("q")[0]), ignorenulls=True)
+                       .alias(prefix + c) for c in cols])
+    if how == "approx":
+        return df.agg(*[F.percentile_approx(clean(df, c).cast("double"), 0.5, 10000).cast("double")
+                        .alias(prefix + c) for c in cols])
+    return df.agg(*[F.percentile(clean(df, c).cast("double"), 0.5).alias(prefix + c) for c in cols])
+
+
 def _quantiles(x: Column, ps: list[float], approx: bool, accuracy: int) -> Column:
     arr = F.array(*[F.lit(p) for p in ps])
     if approx:

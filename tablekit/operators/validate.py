@@ -234,7 +234,8 @@ def leakage_by_correlation(df: DataFrame, target: str) -> DataFrame:
         return _empty_flags(df.sparkSession)
     allc = cols + [target]
     src = df.select(*[clean(df, c).cast("double").alias(c) for c in allc])
-    med = src.agg(*[F.percentile(c, 0.5).alias("__m_" + c) for c in allc])
+    from tablekit.operators.profile import median_row
+    med = median_row(src, allc, "__m_")
     j = src.crossJoin(F.broadcast(med))
     y = F.coalesce(F.col(target), F.col("__m_" + target))
     structs = [F.struct(F.lit(c).alias("column_name"),
