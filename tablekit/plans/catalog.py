@@ -26,8 +26,26 @@ def _load():
     return queries, oracle
 
 
+def prepare_session(spark) -> None:
+    """Runtime settings every registered query relies on: UTC session time zone
+    (timestamp parity with the SQL twins) and adaptive execution with skew-join
+    splitting. Runtime confs only; nothing that needs a restart."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+
+
+def _wrap(fn):
+    def run(spark, sf_dir):
+        prepare_session(spark)
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def all_queries():
-    return _load()[0]
+    return {k: _wrap(v) for k, v in _load()[0].items()}
 
 
 def _wrap_calls(sql: str, fname: str, template: str) -> str:
