@@ -47,9 +47,9 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols)
-                .withColumn("__pid", F.spark_partition_id())
-                .persist())
+    # written once: both readers (counts, numbering) see the same partition ids
+    ranged = materialize(df.repartitionByRange(n, *order_cols)
+                           .withColumn("__pid", F.spark_partition_id()))
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     # one row per partition: the running offset is computed on #partitions rows
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,9 +73,8 @@ def group_positions(df: DataFrame, group_cols: list[str], order_cols: list[str],
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = list(group_cols)
-    ranged = (df.repartitionByRange(n, *g, *order_cols)
-                .withColumn("__pid", F.spark_partition_id())
-                .persist())
+    ranged = materialize(df.repartitionByRange(n, *g, *order_cols)
+                           .withColumn("__pid", F.spark_partition_id()))
     counts = ranged.groupBy("__pid", *g).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*g).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", *g, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))

@@ -71,8 +71,9 @@ def spearman_leakage(df: DataFrame, target: str, key: str, threshold: float = 0.
     """Spearman ρ (Pearson of average ranks) of each numeric feature with
     the target; |ρ| > threshold flagged."""
     feats = numeric_columns(df, exclude=(target, key))
-    # a row id (the key need not be unique); persisted so every rank sees the same ids
-    df = df.withColumn("__rid", F.monotonically_increasing_id()).persist()
+    # a row id (the key need not be unique); written once so every rank sees the same ids
+    from tablekit.functions.joins import materialize
+    df = materialize(df.withColumn("__rid", F.monotonically_increasing_id()))
     key = "__rid"
     ranks = average_ranks(df, target, key, "__ry")
     for c in feats:

@@ -395,6 +395,7 @@ def train_and_evaluate(df: DataFrame, label: str, features: list[str], key: str,
     fitted, enc, prep = fit_once(train, label, features, key, model, **overrides)
     hold = regression_metrics(predict_with(fitted, enc, prep, test), label).first()
     cv = cross_validate(train, label, features, key, model, k, **overrides).first()
+    d.unpersist()
     return df.sparkSession.createDataFrame(
         [(model, hold["mse"], hold["rmse"], hold["mae"], hold["r2"], cv["cv_mse_mean"],
           cv["cv_mse_std"], cv["cv_rmse_mean"], fitted.log_target)],
@@ -418,7 +419,10 @@ def compare_models(df: DataFrame, label: str, features: list[str], key: str,
         out = out.unionByName(p)
     if errors:
         err = df.sparkSession.createDataFrame(errors, "model string, error string")
-        out = err if out is None else out.unionByName(err, allowMissingColumns=True)
+        if out is None:
+            out = err.select("model", F.lit(None).cast("double").alias("cv_mse_mean"), "error")
+        else:
+            out = out.unionByName(err, allowMissingColumns=True)
     w = Window.orderBy(F.col("cv_mse_mean").asc_nulls_last(), "model")   # one row per model
     return out.withColumn("rank", F.row_number().over(w).cast("bigint"))
 

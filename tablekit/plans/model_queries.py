@@ -27,10 +27,20 @@ LABEL, KEY = "target", "row_key"
 
 def _model_table(s, d):
     """train_view → prepared model table: date features, ids dropped, leaky copy out."""
-    # persisted once: the fold loop and the fits re-read it many times
+    # persisted: the fold loop and the fits re-read it many times; every model
+    # query below computes its (small) result eagerly and then releases it
     return FE.prepare_table(V.train_view(s, d), None, ["leaky"], indicator_cols=[]).persist()
 
 
+def _eager(result, *cached):
+    """Compute a small result now, release the cached inputs, return it as a frame."""
+    rows = result.collect()
+    out = result.sparkSession.createDataFrame(rows, result.schema)
+    for c in cached:
+        c.unpersist()
+    return out
+
+
 def _features(df):
     return [c for c in df.columns if c not in (LABEL, KEY)]
 
@@ -77,8 +87,8 @@ def _holdout_metrics(name):
         sp = M.holdout_split(df, KEY)
         tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
         fitted, enc, prep = M.fit_once(tr, LABEL, _features(df), KEY, name, **QUICK)
-        return M.regression_metrics(M.predict_with(fitted, enc, prep, te), LABEL).withColumn(
-            "model", F.lit(name))
+        return _eager(M.regression_metrics(M.predict_with(fitted, enc, prep, te), LABEL).withColumn(
+            "model", F.lit(name)), df)
     return run
 
 
@@ -101,6 +111,7 @@ def _ridge_coefficients(s, d):
     lr = M.fit_ridge(mat, LABEL).models[0]
     rows = [(n, float(c)) for n, c in zip(prep.feature_names, lr.coefficients.toArray())]
     rows.append(("intercept", float(lr.intercept)))
+    df.unpersist()
     return s.createDataFrame(rows, "feature string, coefficient double")
 
 
@@ -115,35 +126,36 @@ def _classifier(s, d):
 
 def _cv(s, d):
     df = _model_table(s, d)
-    return M.cross_validate(df, LABEL, _features(df), KEY, "ridge")
+    return _eager(M.cross_validate(df, LABEL, _features(df), KEY, "ridge"), df)
 
 
 def _train_eval(s, d):
     df = _model_table(s, d)
-    return M.train_and_evaluate(df, LABEL, _features(df), KEY, "gradient_boosting", **QUICK)
+    return _eager(M.train_and_evaluate(df, LABEL, _features(df), KEY, "gradient_boosting", **QUICK), df)
 
 
 def _compare(s, d):
     df = _model_table(s, d)
-    return M.compare_models(df, LABEL, _features(df), KEY, ["ridge", "gradient_boosting"], **QUICK)
+    return _eager(M.compare_models(df, LABEL, _features(df), KEY, ["ridge", "gradient_boosting"],
+                                   **QUICK), df)
 
 
 def _importance(s, d):
     df = _model_table(s, d)
-    return M.feature_importance(df, LABEL, _features(df), KEY, 10, **{**QUICK, "maxIter": 8})
+    return _eager(M.feature_importance(df, LABEL, _features(df), KEY, 10, **{**QUICK, "maxIter": 8}), df)
 
 
 def _tune(s, d):
     df = _model_table(s, d)
-    return M.tune_hyperparameters(df, LABEL, _features(df), KEY, "ridge", n_trials=3, k=3,
-                                  space={"alpha": [0.1, 10.0, 100.0]})
+    return _eager(M.tune_hyperparameters(df, LABEL, _features(df), KEY, "ridge", n_trials=3, k=3,
+                                         space={"alpha": [0.1, 10.0, 100.0]}), df)
 
 
 def _batch_score(s, d):
     df = _model_table(s, d)
     score = df.drop(LABEL)
     out = M.batch_score(df, score, LABEL, _features(df), KEY, "ridge")
-    return M.prediction_summary(out)
+    return _eager(M.prediction_summary(out), df)
 
 
 def _scratch(spark, name):
@@ -156,6 +168,7 @@ def _write_predictions(s, d):
     out = M.batch_score(df, df.drop(LABEL), LABEL, _features(df), KEY, "ridge")
     path = _scratch(s, "predictions")
     M.write_predictions(out, path, "parquet", order_by=[KEY])
+    df.unpersist()
     return s.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"),
                                      F.max("id").alias("max_id"))
 
@@ -165,20 +178,21 @@ def _model_io(s, d):
     fitted, enc, prep = M.fit_once(df, LABEL, _features(df), KEY, "ridge")
     path = _scratch(s, "model")
     M.save_model(fitted, enc, prep, path)
-    return M.evaluate_saved_model(s, path, df, LABEL, KEY)
+    return _eager(M.evaluate_saved_model(s, path, df, LABEL, KEY), df)
 
 
 def _preprocess(s, d):
     df = _model_table(s, d)
     prep = M.fit_preprocess(df, _features(df))
     mat = M.assemble(prep.transform(df), prep.feature_names)
-    return mat.agg(F.count(F.lit(1)).alias("n"), F.lit(len(prep.feature_names)).alias("n_features"))
+    return _eager(mat.agg(F.count(F.lit(1)).alias("n"),
+                          F.lit(len(prep.feature_names)).alias("n_features")), df)
 
 
 def _encode_and_log(s, d):
     df = _model_table(s, d)
     tr, te, log = M.encode_and_log(df, df.drop(LABEL), LABEL, _features(df), KEY)
-    return tr.select(KEY, LABEL, "p_brand").withColumn("log_applied", F.lit(log))
+    return _eager(tr.select(KEY, LABEL, "p_brand").withColumn("log_applied", F.lit(log)), df)
 
 
 QUERIES = {
