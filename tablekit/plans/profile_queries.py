@@ -197,3 +197,52 @@ ORACLE = {
     "high_cardinality": "select * from (" + _distinct_sql("orders", _ORDERS_CAT) +
         ") d where n_distinct > 10",
 }
+
+
+def _full_profile_sql() -> str:
+    """Twin of ``full_profile(train_view, 'target')``: the section tables unioned."""
+    src = "train_view"
+    num = TRAIN_NUM + []
+    cat = ["row_key", "p_brand", "p_type", "o_orderpriority", "o_orderstatus", "last_dt", "name"]
+    stats = ["mean", "std", "min", "p25", "p50", "p75", "max", "skew", "kurtosis"]
+    numeric = S.union_all([f"select 'numeric' as section, column_name, '{st}' as stat, {st} as value, "
+                           f"cast(null as varchar) as label from np" for st in stats])
+    tstats = [("mean", "round(avg(target),4)"), ("median", "round(quantile_cont(target,0.5),4)"),
+              ("std", "round(stddev_samp(target),4)"), ("min", "min(target)"), ("max", "max(target)"),
+              ("skew", f"round({S.skew('target')},4)"),
+              ("pct_zero", "round(count_if(target = 0) / count(*) * 100, 2)")]
+    target = S.union_all([f"select 'target', 'target', '{n}', cast({e} as double), cast(null as varchar) "
+                          f"from {src}" for n, e in tstats])
+    enc_kinds = [("row_key", "string"), ("leaky", "number"), ("l_quantity", "number"),
+                 ("l_discount", "number"), ("l_tax", "number"), ("p_size", "number"),
+                 ("p_retailprice", "number"), ("p_brand", "string"), ("p_type", "string"),
+                 ("o_orderpriority", "string"), ("o_orderstatus", "string"), ("name", "string")]
+    nd = _distinct_sql(src, [c for c, _ in enc_kinds])
+    kinds = ", ".join(f"('{c}','{k}')" for c, k in enc_kinds)
+    return duck_with("train_view").rstrip() + f""",
+      np as ({_num_profile_sql(src, num)}),
+      cp as ({_cat_profile_sql(src, cat)}),
+      tc as (select column_name, round(r,4) as corr from (
+               select *, row_number() over (order by abs(r) desc, column_name) as rank
+               from ({_corr_sql(src, 'target', TRAIN_NUM)}) c where r is not null) x where rank <= 10),
+      oc as ({_outlier_sql(src, num)}),
+      en as (select k.column_name, d.n_distinct,
+               case when kind = 'string' then (case when n_distinct <= 20 then 'one_hot_encode'
+                    else 'label_encode_or_drop' end)
+                    else (case when n_distinct <= 10 then 'treat_as_categorical_or_keep'
+                    else 'scale_numeric' end) end as recommendation
+             from (values {kinds}) k(column_name, kind) join ({nd}) d using (column_name))
+      {numeric}
+      union all
+      select 'categorical', column_name, 'top' || cast(rank as varchar), cast(cnt as double), value from cp
+      union all
+      {target}
+      union all
+      select 'correlation', column_name, 'corr', corr, cast(null as varchar) from tc
+      union all
+      select 'outliers', column_name, 'outlier_pct', outlier_pct, cast(null as varchar) from oc
+      union all
+      select 'encoding', column_name, 'n_distinct', cast(n_distinct as double), recommendation from en"""
+
+
+ORACLE["full_profile"] = _full_profile_sql()
