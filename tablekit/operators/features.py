@@ -214,14 +214,16 @@ def target_encode_oof(df: DataFrame, cat: str, target: str, key: str, k: int = N
     out = out or f"{cat}_te"
     fold = F.col(fold_col) if fold_col else fold_of(F.concat(F.lit("cv-"), F.col(key)), k)
     base = df.withColumn("__fold", fold).withColumn("__cat", _cat_key(cat))
-    gm = base.agg(F.avg(target).alias("__gm"))
     per = base.groupBy("__cat", "__fold").agg(F.sum(target).alias("__s"),
                                               F.count(target).alias("__n"))
     w = Window.partitionBy("__cat")
     stats = (per.withColumn("__s_out", F.sum("__s").over(w) - F.col("__s"))
                 .withColumn("__n_out", F.sum("__n").over(w) - F.col("__n"))
-                .select("__cat", "__fold", "__s_out", "__n_out"))
+                .select("__cat", "__fold", "__s_out", "__n_out", "__s", "__n"))
     stats = bounded_broadcast(stats)
+    # the global mean from the small (materialised) statistics, not another pass
+    gm = stats.agg((F.sum("__s") / F.sum("__n")).alias("__gm"))
+    stats = stats.drop("__s", "__n")
     m = F.lit(float(smoothing))
     enc = (F.col("__s_out") + m * F.col("__gm")) / (F.col("__n_out") + m)
     return (base.join(stats, ["__cat", "__fold"], "left").crossJoin(F.broadcast(gm))
@@ -248,10 +250,10 @@ class TargetEncoding:
 def fit_target_encoding(train: DataFrame, cat: str, target: str,
                         smoothing: float = TARGET_SMOOTHING, out: str | None = None) -> TargetEncoding:
     base = train.withColumn("__cat", _cat_key(cat))
-    gm = base.agg(F.avg(target).alias("__gm"))
     m = F.lit(float(smoothing))
-    per = (base.groupBy("__cat").agg(F.sum(target).alias("__s"), F.count(target).alias("__n"))
-               .crossJoin(F.broadcast(gm))
+    sums = base.groupBy("__cat").agg(F.sum(target).alias("__s"), F.count(target).alias("__n"))
+    gm = sums.agg((F.sum("__s") / F.sum("__n")).alias("__gm"))
+    per = (sums.crossJoin(F.broadcast(gm))
                .select("__cat", ((F.col("__s") + m * F.col("__gm")) / (F.col("__n") + m)).alias("__enc")))
     return TargetEncoding(cat, bounded_broadcast(per), gm, out or "")
 
