@@ -11,7 +11,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablekit.llm.store import documents
+from tablekit.llm.store import documents, new_path
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -29,6 +29,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload bytes and digest of responses are taken from the payloads read back; those of
+    revisits from their headers, whose payloads are not in the archive."""
+    from tablekit.llm import warc
+
+    pages = documents(spark, sf_dir, "pages")
+    folder = new_path(spark, "warc")
+    warc.write_archive(pages, folder)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    response = warc.read_archive(spark, folder).where("warc_type = 'response'").select(
+        warc.urn_id("record_id", kind).alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast(kind).alias("refers_to"))
+    revisit = warc.read_archive(spark, folder, payload=False).where("warc_type = 'revisit'").select(
+        warc.urn_id("record_id", kind).alias("page_id"), F.col("payload_length").alias("payload_bytes"),
+        F.substring_index("payload_digest", ":", -1).alias("payload_digest"), F.lit("revisit").alias("record_type"), warc.urn_id("refers_to", kind).alias("refers_to"))
+    return response.unionByName(revisit)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekit.llm import pack
 
@@ -41,7 +59,16 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op6_packing": op6_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as h from pages),
+        f as (select h, min(page_id) as first from p where n >= 100 group by h)
+        select page_id, cast(n as bigint) as payload_bytes, h as payload_digest,
+               case when first is not null and page_id <> first then 'revisit' else 'response' end as record_type,
+               case when first is not null and page_id <> first then first end as refers_to
+        from p left join f using (h)""",
+}
