@@ -47,12 +47,26 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response.unionByName(revisit)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import quality
+
+    scored = quality.score(documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"), "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekit.llm import pack
 
     return piece_digests(pack.pack(documents(spark, sf_dir), tokenizer_file()))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import html
+
+    pages = html.extract(documents(spark, sf_dir, "pages").select("page_id", "url", "html"), out="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def piece_digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -60,10 +74,32 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
     "op6_packing": op6_packing,
+    "op8_html": op8_html,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_quality": r"""
+        with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
+        a as (select k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+        g as (select k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from a, unnest(range(1, len(w) - 1)) as u(i)),
+        c as (select k, i, count(*) over (partition by k, g) as n from g),
+        r as (select k, count(distinct p) as n from c, unnest([i, i + 1, i + 2]) as u(p) where n > 1 group by k),
+        s as (select doc_id, t, len(w) as n_words, length(list_aggregate(w, 'string_agg', '')) as c1,
+                     len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines,
+                     coalesce(r.n, 0) as n_repeat_words, len(regexp_extract_all(t, '\p{L}')) as letters, len(regexp_extract_all(t, '\p{Lu}')) as capitals
+              from a left join r using (k)),
+        f as (select *, coalesce(c1, 0) as word_chars, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s)
+        select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+               cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+               not (base_failed or 10 * n_symbols > n_words or word_chars > 20 * n_words or word_chars < 2 * n_words
+                    or 10 * n_dup_lines > 3 * n_lines or 10 * letters < 6 * word_chars or 2 * capitals > letters
+                    or 5 * len(regexp_extract_all(t, '!')) > n_words
+                    or 10 * len(regexp_extract_all(t, '(?:\.\.\.|…)[\x20\x09\x0B-\x0D]*(?:\n|$)')) > 3 * n_lines
+                    or 10 * len(regexp_extract_all(t, '(?:^|\n)[\x20\x09\x0B-\x0D]*[•‣◦*-][\x20\x09]')) > 9 * n_lines) as kept
+        from f""",
     "op2_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as h from pages),
         f as (select h, min(page_id) as first from p where n >= 100 group by h)
