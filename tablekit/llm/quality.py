@@ -102,7 +102,7 @@ def rules(text_col: str = "text") -> list[Rule]:
         Rule("too_short_or_repetitive", base_failed()),
         Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
         Rule("word_length", (F.col("word_chars") > 20 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * lines),
+        Rule("repeated_lines", 2 * F.col("n_dup_lines") > lines),
         Rule("few_letters", 10 * letters < 6 * F.col("word_chars")),
         Rule("capitals", 2 * capitals > letters),
         Rule("exclamations", 5 * F.regexp_count(text, F.lit("!")) > F.col("n_words")),

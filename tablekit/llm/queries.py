@@ -95,7 +95,7 @@ ORACLE: dict[str, str] = {
         select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
                cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
                not (base_failed or 10 * n_symbols > n_words or word_chars > 20 * n_words or word_chars < 2 * n_words
-                    or 10 * n_dup_lines > 3 * n_lines or 10 * letters < 6 * word_chars or 2 * capitals > letters
+                    or 2 * n_dup_lines > n_lines or 10 * letters < 6 * word_chars or 2 * capitals > letters
                     or 5 * len(regexp_extract_all(t, '!')) > n_words
                     or 10 * len(regexp_extract_all(t, '(?:\.\.\.|…)[\x20\x09\x0B-\x0D]*(?:\n|$)')) > 3 * n_lines
                     or 10 * len(regexp_extract_all(t, '(?:^|\n)[\x20\x09\x0B-\x0D]*[•‣◦*-][\x20\x09]')) > 9 * n_lines) as kept
