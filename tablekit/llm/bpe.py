@@ -25,7 +25,7 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +34,15 @@ END = "</w>"
 #: Words and pairs remembered by one Python worker; older ones are forgotten.
 CACHE_ENTRIES = 1 << 19
 ROWS_AT_ONCE = 512
+#: Keys of an automaton's state beside its symbols.
+ENDS, LESS, DEPTH = 0, 1, 2
 #: White space to str.split(), but not to the tokenizer's pattern.
 SPLIT_APART = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[^\\S\x1c-\x1f]+")
+#: A full stop or comma beside another sign: they are one word.
+TOUCHING = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))")
+#: Stands for a chunk that this Python's character tables do not cover.
+WILD = b"?wild"
 
 
 def byte_chars() -> list[str]:
@@ -54,21 +60,26 @@ def byte_chars() -> list[str]:
 
 
 class Memo(dict):
-    """A dict that forgets its older half when it is full: constant memory."""
+    """Remembers values in two generations: when the young one is full it becomes the old
+    one, from which only what is asked for again comes back. Constant memory."""
 
     def __init__(self, make, most: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
+
+    def has(self, key) -> bool:
+        return key in self or key in self.old
 
     def keep(self, key, value):
         if len(self) >= self.most:
-            for k in list(self)[: self.most // 2]:
-                del self[k]
+            self.old = dict(self)
+            self.clear()
         self[key] = value
         return value
 
     def __missing__(self, key):
-        return self.keep(key, self.make(key))
+        value = self.old.pop(key, None)
+        return self.keep(key, self.make(key) if value is None else value)
 
 
 class BpeModel:
@@ -94,13 +105,11 @@ class BpeModel:
         self._pieces(spec.get("pre_tokenizer"))
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.follows = Memo(lambda key: self.apart(key >> 32, key & 0xFFFFFFFF), 1 << 20)
-        self.words = Memo(lambda w: array("I", self._word(w)).tobytes())
-        self.chunks = Memo(self._chunk)
+        self.words = Memo(self._encode_new)
 
     def _merges(self, merges) -> None:
         """rank: of a pair of ids; parts, made: the pair and the rank that make a token;
-        trees: the tokens that BPE makes of their own text, by symbol, with those that end
-        a word under their last symbol and the suffix."""
+        stands: the tokens that BPE makes of their own text."""
         vocab = self.vocab
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -114,13 +123,44 @@ class BpeModel:
                 self.parts[t], self.made[t] = pair, r
                 if pair[0] in stands and pair[1] in stands and self.apart(*pair, r):
                     stands.add(t)
-        self.trees: dict = {}
-        for t, i in vocab.items():
-            if i in stands:
-                node = self.trees
-                for c in self._symbols(t):
-                    node = node.setdefault(c, {})
-                node[""] = i
+        self.stands = stands
+
+    @cached_property
+    def start(self) -> dict:
+        """An automaton over symbols whose states are the beginnings of tokens: the state
+        after a text is its longest end that begins a token. ENDS lists the tokens that end
+        there, longest first, LESS is the state of the next shorter end. Moves that are not
+        along a token are added when they are first made."""
+        start = {ENDS: (), DEPTH: 0}
+        for t, i in self.vocab.items():
+            if i in self.stands:
+                node, symbols = start, self._symbols(t)
+                for d, c in enumerate(symbols, 1):
+                    node = node.setdefault(c, {DEPTH: d, ENDS: ()})
+                node[ENDS] = ((i, len(symbols)),)
+        start[LESS] = start
+        level = [start]
+        while level:
+            below = []
+            for node in level:
+                for c in [c for c in node if isinstance(c, str)]:
+                    child = node[c]
+                    less = node[LESS]
+                    while less is not start and c not in less:
+                        less = less[LESS]
+                    child[LESS] = less[c] if c in less and less[c] is not child else start
+                    child[ENDS] += child[LESS][ENDS]
+                    below.append(child)
+            level = below
+        return start
+
+    def move(self, state: dict, symbol: str) -> dict:
+        """The state after ``symbol`` where no token goes on: that of a shorter end."""
+        at = state
+        while symbol not in at and at is not self.start:
+            at = at[LESS]
+        state[symbol] = to = at.get(symbol, self.start)
+        return to
 
     def apart(self, x: int, y: int, limit: float = float("inf")) -> bool:
         """Whether BPE leaves two tokens alone that stand side by side. Goes back in time,
@@ -179,113 +219,176 @@ class BpeModel:
             self._lookahead = most + self.longest
         return self._lookahead
 
-    def symbols(self, word: str) -> str:
-        return "".join(map(self.chars.__getitem__, word.encode("utf-8")))
+    def encode_batch(self, texts, library: bool = False) -> list[bytes]:
+        """Whole texts to ids as little-endian unsigned 32-bit integers. The distinct words
+        of all texts are looked up; new ones are encoded in order, so that each goes on from
+        the prefix it shares with the one before it (``library``: by the tokenizers library).
+        The texts' ids are then gathered from the words'."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = [self.normalised(t) for t in texts]
+        lists = pc.utf8_split_whitespace(pa.array([t or "" for t in plain], pa.large_string()))
+        word = lists.flatten().dictionary_encode()
+        distinct = word.dictionary.to_pylist()
+        self._learn(distinct, library)
+        ids = [self.words[w] for w in distinct]
+        wild = {i for i, x in enumerate(ids) if x is WILD}
+        ids = [b"" if x is WILD else x for x in ids] if wild else ids
+        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        data, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        at = word.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        ends = np.cumsum(n)
+        flat = data[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        out = []
+        for i, t in enumerate(texts):
+            if plain[i] is None:
+                out.append(self._apart(t, library))
+            elif wild and wild & set(at[lists.offsets[i].as_py() : lists.offsets[i + 1].as_py()].tolist()):
+                out.append(self._whole(t))
+            else:
+                out.append(flat[bounds[i] : bounds[i + 1]].tobytes())
+        return out
 
-    def _word(self, word: str) -> list[int]:
-        run = Transducer(self)
-        return run.feed(self.symbols(word)) + run.finish()
-
-    def prepare(self, texts) -> None:
-        """Encodes the words of some texts that are not remembered yet, in order, so that
-        each goes on from the prefix that it shares with the one before it."""
-        seen: set[str] = set()
-        for t in texts:
-            seen.update(t.split())
-        new = {c: self._cut(c) for c in seen - self.chunks.keys()}
+    def _learn(self, chunks, library: bool) -> None:
+        new = {c: self._words(c) for c in chunks if not self.words.has(c)}
+        if new:
+            (self._by_library if library else self._in_order)(new)
+
+    def normalised(self, text: str) -> str | None:
+        """A text in normal form, full stops and commas that stand alone cut off as words.
+        None for the rare texts with special tokens or separators that are white space only
+        to Python."""
+        if self._special and "<" in text and self._special.search(text) or SPLIT_APART.search(text):
+            return None
+        if self.nfc and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if self.lower:
+            # character by character: str.lower() on a word treats a final sigma apart
+            text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return text if TOUCHING.search(text) else text.replace(".", " . ").replace(",", " , ")
+
+    def _apart(self, text: str, library: bool) -> bytes:
+        """Encodes a text between its special tokens and separators: no word holds either."""
+        out = []
+        for part in self._special.split(text) if self._special else [text]:
+            if part in self.special:
+                out.append(array("I", [self.special[part]]).tobytes())
+            elif SPLIT_APART.search(part):
+                # U+001C to U+001F are signs to the tokenizer, words with what touches them
+                for p in SPACE.split(unicodedata.normalize("NFC", part) if self.nfc else part):
+                    if p:
+                        chunk = "".join(map(str.lower, p)) if self.lower else p
+                        out.append(self._whole(p) if WILD in self._words(chunk) else self.words[chunk])
+            else:
+                out.append(self.encode_batch([part], library)[0])
+        return b"".join(out)
+
+    def _in_order(self, new: dict[str, list[str]]) -> None:
         run, text, often = Transducer(self), "", 2 * self.longest
-        for w in sorted(set().union(*new.values()) - self.words.keys()):
+        for w in sorted(w for w in set().union(*new.values()) - {WILD} if not self.words.has(w)):
             before, text = text, self.symbols(w)
             if len(text) > often:
-                text = ""
+                run, text = Transducer(self), ""
                 continue  # encoded when it is needed, as a stream
             k, most = 0, min(len(before), len(text)) - 1
             while k < most and before[k] == text[k]:
                 k += 1
             run.rewind(k)
             run.run(text[k:-1])
-            run.run([text[-1] + self.end])
+            run.run((text[-1] + self.end,))
             self.words.keep(w, array("I", run.path(len(text))).tobytes())
         for c, words in new.items():
-            self.chunks.keep(c, b"".join([self.words[w] for w in words]))
-
-    def _cut(self, chunk: str) -> list[str]:
-        """The words of a text without white space, in normal form."""
-        if not chunk.isascii():
-            if any(unicodedata.category(c) == "Cn" for c in chunk):
-                # newer letters than this Python knows: ask the library for its classes
-                from tokenizers import Tokenizer
-
-                if not hasattr(self, "_library"):
-                    self._library = Tokenizer.from_file(self.path)
-                cut = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))
-                return [bytes(map(self.bytes.__getitem__, w)).decode("utf-8") for w, _ in cut]
-            if self.nfc:
-                chunk = unicodedata.normalize("NFC", chunk)
-        if self.lower:
-            # character by character: str.lower() on a word treats a final sigma apart
-            chunk = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
+            if words != [c]:
+                self.words.keep(c, self._joined(c, words))
+
+    def _by_library(self, new: dict[str, list[str]]) -> None:
+        tokenize = self.library.model.tokenize
+        for c, words in new.items():
+            if WILD in words:
+                self.words.keep(c, self._joined(c, words))
+            else:
+                self.words.keep(c, array("I", [t.id for w in words for t in tokenize(self.symbols(w))]).tobytes())
+
+    def _encode_new(self, chunk: str) -> bytes:
+        words = self._words(chunk)
+        if words == [chunk]:
+            run = Transducer(self)
+            return array("I", run.feed(self.symbols(chunk)) + run.finish()).tobytes()
+        return self._joined(chunk, words)
+
+    def _joined(self, chunk: str, words: list[str]) -> bytes:
+        if WILD in words:
+            return WILD
+        return b"".join([self.words[w] for w in words])
+
+    def _words(self, chunk: str) -> list[str]:
+        if not chunk.isascii() and any(unicodedata.category(c) == "Cn" for c in chunk):
+            return [WILD]
         return self.pattern.findall(chunk)
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.words[w] for w in self._cut(chunk)])
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if self._special and "<" in text and self._special.search(text):
-            out = []
-            for part in self._special.split(text):
-                out.append(array("I", [self.special[part]]).tobytes() if part in self.special else self._plain(part))
-            return b"".join(out)
-        return self._plain(text)
+        return Tokenizer.from_file(self.path)
 
-    def _plain(self, text: str) -> bytes:
-        # no word holds white space, and no normal form reaches across it
-        parts = SPACE.split(text) if SPLIT_APART.search(text) else text.split()
-        return b"".join(map(self.chunks.__getitem__, parts))
+    def _whole(self, text: str) -> bytes:
+        """A text with characters newer than this Python's tables: the library normalises and
+        cuts it, word by word."""
+        out = []
+        for part in self._special.split(text) if self._special else [text]:
+            if part in self.special:
+                out.append(array("I", [self.special[part]]).tobytes())
+                continue
+            for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                run = Transducer(self)
+                out.append(array("I", run.feed(w) + run.finish()).tobytes())
+        return b"".join(out)
+
+    def symbols(self, word: str) -> str:
+        return "".join(map(self.chars.__getitem__, word.encode("utf-8")))
 
 
 class Transducer:
     """Streams one word's symbols in and its stable tokens out.
 
     ``last[i]`` is (token, start) of the last token of the prefix that ends with symbol i,
-    ``opens[i]`` the token texts under way after i symbols: (start, node of the tree).
-    Positions count from the end of the emitted tokens.
+    ``states[i]`` the automaton's state after i symbols. Positions count from the end of the
+    emitted tokens.
     """
 
     def __init__(self, model: BpeModel):
         self.m, self.held = model, ""
         self.last: list[tuple[int, int]] = []
-        self.opens: list[list[tuple[int, dict]]] = [[]]
+        self.states: list[dict] = [model.start]
         self.before = -1  # the last emitted token
         self.most = 0  # the longest that ``last`` has been
 
     def run(self, symbols) -> None:
-        """Moves the open texts on, symbol by symbol. Of those that may end at a symbol, one
-        continues the encoding of what stands before it."""
-        last, opens, follows, trees = self.last, self.opens, self.m.follows, self.m.trees
-        n, open_ = len(last), opens[-1]
+        """Of the tokens that may end at a symbol, one continues the encoding of what
+        stands before it."""
+        last, states, follows, before = self.last, self.states, self.m.follows, self.before
+        n, state = len(last), states[-1]
         for c in symbols:
-            found, still = None, []
-            for at in (*open_, (n, trees)):
-                node = at[1].get(c)
-                if node is not None:
-                    j = at[0]
-                    still.append((j, node))
-                    if found is None:
-                        t = node.get("")
-                        if t is not None:
-                            left = last[j - 1][0] if j else self.before
-                            if left < 0 or follows[left << 32 | t]:
-                                found = t, j
-            last.append(found)
-            opens.append(still)
-            open_ = still
             n += 1
+            to = state.get(c)
+            state = self.m.move(state, c) if to is None else to
+            for t, size in state[ENDS]:
+                j = n - size
+                if j >= 0:
+                    left = last[j - 1][0] if j else before
+                    if left < 0 or follows[left << 32 | t]:
+                        break
+            last.append((t, j))
+            states.append(state)
 
     def rewind(self, n: int) -> None:
         """Back to the state after n symbols."""
-        del self.last[n:], self.opens[n + 1 :]
+        del self.last[n:], self.states[n + 1 :]
 
     def path(self, i: int) -> list[int]:
         out = []
@@ -309,8 +412,11 @@ class Transducer:
 
     def _settle(self) -> list[int]:
         """Emits the path that all live positions share: any next token starts at one of them."""
-        n = len(self.last)
-        live = {n, *(j for j, _ in self.opens[-1])}
+        n, state = len(self.last), self.states[-1]
+        live = {n}
+        while state[DEPTH]:  # every end of the text that begins a token
+            live.add(max(0, n - state[DEPTH]))
+            state = state[LESS]
         while len(live) > 1:
             i = max(live)
             live.discard(i)
@@ -320,8 +426,7 @@ class Transducer:
             path = self.path(root)
             self.before = path[-1]
             self.last = [(t, j - root) for t, j in self.last[root:]]
-            # texts that began before the root lead nowhere: the live positions share it
-            self.opens = [[(j - root, node) for j, node in at if j >= root] for at in self.opens[root:]]
+            del self.states[:root]
             return path
         return []
 
@@ -377,7 +482,7 @@ def model(path: str) -> BpeModel:
     """One model per Python worker and file."""
     out = BpeModel(path)
     gc.collect()
-    gc.freeze()  # the trees need no more passes of the collector
+    gc.freeze()  # the tables need no more passes of the collector
     return out
 
 
@@ -405,8 +510,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", f
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 b = whole.slice(at, ROWS_AT_ONCE)
                 texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-                m.prepare(texts)
-                packed = list(map(m.encode_bytes, texts))
+                packed = m.encode_batch(texts)
                 if form == "binary":
                     ids = pa.array(packed, pa.binary())
                 else:

@@ -41,8 +41,7 @@ def tokenised(df: DataFrame, path: str, id_col: str, text_col: str, end_id: int)
             for at in range(0, whole.num_rows, bpe.ROWS_AT_ONCE):
                 b = whole.slice(at, bpe.ROWS_AT_ONCE)
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                m.prepare(texts)
-                packed = [m.encode_bytes(t) + end for t in texts]
+                packed = [x + end for x in m.encode_batch(texts, library=True)]
                 sizes = [len(x) // 4 for x in packed]
                 starts = []
                 for n in sizes:

@@ -54,6 +54,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"), "kept")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one version each, against a new ledger."""
+    from tablekit.llm import secrets
+
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), secrets.new_ledger(spark))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], F.sha2(secrets.digest(F.col("spans"), secrets.BASE_KINDS), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekit.llm import pack
 
@@ -75,6 +84,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
     "op8_html": op8_html,
 }
