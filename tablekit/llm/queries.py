@@ -76,6 +76,13 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import lines
+
+    out = lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def piece_digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -87,9 +94,21 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
     "op8_html": op8_html,
+    "op9_lines": op9_lines,
 }
 
 ORACLE: dict[str, str] = {
+    "op9_lines": r"""
+        with d as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+        t as (select doc_id, i, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') as w from d, unnest(range(1, len(l) + 1)) as u(i)),
+        k as (select doc_id, i, len(w) || ' ' || list_aggregate(list_transform(w[1:8], lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end), 'string_agg', ' ') as k
+              from t where len(w) >= 3),
+        r as (select k, min((doc_id, i)) as first from k group by k having count(distinct doc_id) >= 3),
+        x as (select doc_id, list(i) as gone from k join r using (k) where (doc_id, i) <> first group by doc_id)
+        select doc_id, cast(coalesce(len(l), 0) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_dropped,
+               case when gone is null then text
+                    else coalesce(list_aggregate(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(gone, i)), lambda i: l[i]), 'string_agg', chr(10)), '') end as text
+        from d left join x using (doc_id)""",
     "op3_quality": r"""
         with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
         a as (select k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
