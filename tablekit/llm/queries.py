@@ -83,6 +83,15 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import langid
+
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def piece_digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -95,6 +104,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op8_html": op8_html,
     "op9_lines": op9_lines,
+    "op10_langid": op10_langid,
 }
 
 ORACLE: dict[str, str] = {
