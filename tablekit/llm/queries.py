@@ -69,6 +69,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack.pack(documents(spark, sf_dir), tokenizer_file()))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import hnsw
+
+    return hnsw.near_dups(documents(spark, sf_dir, "embeddings"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekit.llm import html
 
@@ -102,6 +108,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
+    "op7_embeddings": op7_embeddings,
     "op8_html": op8_html,
     "op9_lines": op9_lines,
     "op10_langid": op10_langid,
