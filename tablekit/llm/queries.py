@@ -63,6 +63,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], F.sha2(secrets.digest(F.col("spans"), secrets.BASE_KINDS), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import jaccard
+
+    return jaccard.near_dups(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablekit.llm import pack
 
@@ -107,6 +113,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_jaccard": op5_jaccard,
     "op6_packing": op6_packing,
     "op7_embeddings": op7_embeddings,
     "op8_html": op8_html,
