@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekit.functions.joins import bounded_broadcast, dense_index, group_positions
+from tablekit.functions.quantiles import value_quantiles
 from tablekit.functions.stats import clean, numeric_columns, safe_corr
+from tablekit.operators.profile import iqr_fences
 
 
 def frequency_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -22,17 +24,13 @@ def frequency_encode(df: DataFrame, col: str, out: str | None = None) -> DataFra
 
 
 def winsorize(df: DataFrame, cols: list[str], k: float = 3.0) -> DataFrame:
-    """Clip each column to its k·IQR fences (one aggregate, one broadcast row)."""
-    q = df.agg(*[F.percentile(clean(df, c), F.array(F.lit(0.25), F.lit(0.75))).alias("__q_" + c)
-                 for c in cols])
-    j = df.crossJoin(F.broadcast(q))
+    """Clip each column to its k·IQR fences (one row, broadcast)."""
+    j = df.crossJoin(F.broadcast(iqr_fences(df, cols, k=k).select(*[F.col(c).alias("__q_" + c) for c in cols])))
     sel = []
     for c in df.columns:
         if c in cols:
-            q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
-            lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
             x = clean(df, c)
-            sel.append(F.when(x.isNotNull(), F.greatest(lo, F.least(x, hi))).alias(c))
+            sel.append(F.when(x.isNotNull(), F.greatest(F.col(f"__q_{c}.lo"), F.least(x, F.col(f"__q_{c}.hi")))).alias(c))
         else:
             sel.append(F.col(c))
     return j.select(*sel)
@@ -87,15 +85,27 @@ def spearman_leakage(df: DataFrame, target: str, key: str, threshold: float = 0.
 
 def group_features_full(df: DataFrame, group_col: str, cols: list[str],
                         approx: bool = False) -> DataFrame:
-    """Per group mean, sample std, min, max, median of each column, joined back."""
+    """Per group mean, sample std, min, max, median of each column, joined back. Medians
+    come from value counts spread over partitions, so a hot group is in no single buffer."""
     aggs = []
     for c in cols:
         x = clean(df, c)
-        med = F.percentile_approx(x, 0.5, 10000) if approx else F.percentile(x, 0.5)
         aggs += [F.avg(x).alias(f"{group_col}__{c}_mean"), F.stddev_samp(x).alias(f"{group_col}__{c}_std"),
-                 F.min(x).alias(f"{group_col}__{c}_min"), F.max(x).alias(f"{group_col}__{c}_max"),
-                 med.cast("double").alias(f"{group_col}__{c}_median")]
-    stats = df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(*aggs)
+                 F.min(x).alias(f"{group_col}__{c}_min"), F.max(x).alias(f"{group_col}__{c}_max")]
+        if approx:
+            aggs.append(F.percentile_approx(x, 0.5, 10000).cast("double").alias(f"{group_col}__{c}_median"))
+    known = df.where(F.col(group_col).isNotNull())
+    stats = known.groupBy(group_col).agg(*aggs)
+    if not approx:
+        u = known.select(F.col(group_col).alias("__g"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), clean(df, c).cast("double").alias("value")) for c in cols])).alias("s"))
+        q = value_quantiles(u.select("__g", "s.*"), ["__g", "column_name"], [0.5])
+        medians = q.groupBy("__g").agg(*[
+            F.first(F.when(F.col("column_name") == c, F.col("q")[0]), ignorenulls=True).alias(f"{group_col}__{c}_median")
+            for c in cols])
+        stats = stats.join(medians, F.col(group_col) == F.col("__g"), "left").drop("__g")
+        order = [group_col, *[f"{group_col}__{c}_{m}" for c in cols for m in ("mean", "std", "min", "max", "median")]]
+        stats = stats.select(*order)
     return df.join(bounded_broadcast(stats), group_col, "left")
 
 

@@ -6,9 +6,8 @@ column). Distinct counts go through an unpivot → groupBy(column, value) →
 groupBy(column) so map-side partial aggregation collapses hot values before the
 shuffle, instead of N ``count(distinct)`` that would expand every row N times.
 
-Exact quantiles (``percentile``) keep a value → count map per group, which is
-right for parity with pandas / DuckDB; at cluster scale on continuous columns
-pass ``approx=True`` (``percentile_approx``, bounded memory).
+Exact quantiles come from distributed value counts and running sums at every
+size (``functions/quantiles.py``); ``approx=True`` gives ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -16,80 +15,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablekit.functions.quantiles import value_quantiles
 from tablekit.functions.stats import (clean, is_missing, numeric_columns,
                                       other_columns, r2, r4, safe_corr,
                                       sample_kurtosis, sample_skew)
 
 
-# Inputs with at least this many splits are treated as large: exact quantiles
-# then come from distributed positions instead of per-group value maps.
-LARGE_INPUT_PARTITIONS = 256
-
-
-def quantile_method(df: DataFrame, approx: bool = False, method: str | None = None) -> str:
-    """``approx`` (percentile_approx), ``map`` (exact ``percentile``: one value →
-    count map per group, fine for small inputs) or ``sort`` (exact, distributed:
-    positions over a range partitioning). Decided from the plan, no job."""
-    if method:
-        return method
-    if approx:
-        return "approx"
-    return "sort" if df.rdd.getNumPartitions() >= LARGE_INPUT_PARTITIONS else "map"
-
-
 def exact_quantiles(df: DataFrame, cols: list[str], ps: list[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles without a per-group value map:
-    ``(column_name, q)`` with ``q`` an array in the order of ``ps``.
-
-    Values are numbered inside each column by ``group_positions`` (range
-    partitioning on (column, value), so one column or one hot value is spread
-    over many tasks); only the 2·|ps| needed positions per column are picked by
-    a join against a broadcast table of cols × ps rows."""
-    from tablekit.functions.joins import group_positions
-    spark = df.sparkSession
+    """Exact linear-interpolated quantiles: ``(column_name, q)`` with ``q`` an array in the
+    order of ``ps``, by value counts and running sums (``functions/quantiles.py``)."""
     u = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                                 clean(df, c).cast("double").alias("value"))
                                        for c in cols])).alias("s"))
-           .select("s.*").where(F.col("value").isNotNull()))
-    pos = group_positions(u, ["column_name"], ["value"], "pos")
-    n = u.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-    pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(ps)], "i int, p double")
-    t = (n.crossJoin(F.broadcast(pdf))
-          .withColumn("h", (F.col("n") - 1) * F.col("p"))
-          .withColumn("lo", F.floor("h").cast("bigint"))
-          .withColumn("hi", F.ceil("h").cast("bigint")))
-    need = t.select("column_name", F.explode(F.array("lo", "hi")).alias("pos")).distinct()
-    picked = pos.join(F.broadcast(need), ["column_name", "pos"]).select("column_name", "pos", "value")
-    a, b = picked.alias("a"), picked.alias("b")
-    j = (t.alias("t")
-          .join(a, (F.col("t.column_name") == F.col("a.column_name")) & (F.col("t.lo") == F.col("a.pos")))
-          .join(b, (F.col("t.column_name") == F.col("b.column_name")) & (F.col("t.hi") == F.col("b.pos"))))
-    q = F.col("a.value") + (F.col("t.h") - F.col("t.lo")) * (F.col("b.value") - F.col("a.value"))
-    return (j.select(F.col("t.column_name").alias("column_name"), F.col("t.i").alias("i"), q.alias("q"))
-             .groupBy("column_name")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"])
-                  .alias("q")))
-
-
-def median_row(df: DataFrame, cols: list[str], prefix: str = "", *, approx: bool = False,
-               method: str | None = None) -> DataFrame:
-    """One row of medians named ``prefix + column`` (map / approx / sort)."""
-    how = quantile_method(df, approx, method)
-    if how == "sort":
-        q = exact_quantiles(df, cols, [0.5])
-        return q.agg(*[F.first(F.when(F.col("column_name") == c, F.col("q")[0]), ignorenulls=True)
-                       .alias(prefix + c) for c in cols])
-    if how == "approx":
+           .select("s.*"))
+    return value_quantiles(u, ["column_name"], ps)
+
+
+def median_row(df: DataFrame, cols: list[str], prefix: str = "", *, approx: bool = False) -> DataFrame:
+    """One row of medians named ``prefix + column``, exact unless ``approx``."""
+    if approx:
         return df.agg(*[F.percentile_approx(clean(df, c).cast("double"), 0.5, 10000).cast("double")
                         .alias(prefix + c) for c in cols])
-    return df.agg(*[F.percentile(clean(df, c).cast("double"), 0.5).alias(prefix + c) for c in cols])
+    q = exact_quantiles(df, cols, [0.5])
+    return q.agg(*[F.first(F.when(F.col("column_name") == c, F.col("q")[0]), ignorenulls=True)
+                   .alias(prefix + c) for c in cols])
 
 
-def _quantiles(x: Column, ps: list[float], approx: bool, accuracy: int) -> Column:
-    arr = F.array(*[F.lit(p) for p in ps])
-    if approx:
-        return F.percentile_approx(x, arr, accuracy)
-    return F.percentile(x, arr)
+def _approx_quantiles(x: Column, ps: list[float], accuracy: int) -> Column:
+    return F.percentile_approx(x, F.array(*[F.lit(p) for p in ps]), accuracy)
 
 
 def _explode_structs(wide: DataFrame, structs: list[Column]) -> DataFrame:
@@ -99,18 +52,16 @@ def _explode_structs(wide: DataFrame, structs: list[Column]) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None, *,
-                    approx: bool = False, accuracy: int = 10000,
-                    method: str | None = None) -> DataFrame:
+                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """A1: mean, std (n-1), min, quartiles, max, skew, kurtosis per numeric column."""
     cols = columns or numeric_columns(df)
     src = df.select(*[clean(df, c).cast("double").alias(c) for c in cols])
-    how = quantile_method(df, approx, method)
     out_cols = ["column_name", "mean", "std", "min", "p25", "p50", "p75", "max", "skew", "kurtosis"]
     structs = []
     for c in cols:
         x = F.col(c)
-        q = (_quantiles(x, [0.25, 0.5, 0.75], how == "approx", accuracy) if how != "sort"
-             else F.array(*[F.lit(None).cast("double")] * 3))
+        q = [_approx_quantiles(x, [0.25, 0.5, 0.75], accuracy)[i] if approx else F.lit(None).cast("double")
+             for i in range(3)]
         structs.append(F.struct(
             F.lit(c).alias("column_name"),
             r4(F.avg(x)).alias("mean"), r4(F.stddev_samp(x)).alias("std"),
@@ -119,12 +70,12 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, *,
             r4(sample_skew(x)).alias("skew"), r4(sample_kurtosis(x)).alias("kurtosis")))
     # aggregates sit inside the array of structs: still a single Aggregate node
     long = src.agg(F.array(*structs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
-    if how != "sort":
+    if approx:
         return long
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    return (long.drop("p25", "p50", "p75").join(q, "column_name", "left")
-                .select(*[r4(F.col("q")[i]).alias(n) if n in ("p25", "p50", "p75") else F.col(n)
-                          for n, i in zip(out_cols, [0, 0, 0, 0, 0, 1, 2, 0, 0, 0])]))
+    at = {"p25": 0, "p50": 1, "p75": 2}
+    return (long.drop(*at).join(q, "column_name", "left")
+                .select(*[r4(F.col("q")[at[n]]).alias(n) if n in at else F.col(n) for n in out_cols]))
 
 
 def _unpivot_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -192,18 +143,18 @@ def complete_row_count(df: DataFrame) -> DataFrame:
 
 
 def target_distribution(df: DataFrame, target: str, *, approx: bool = False,
-                        accuracy: int = 10000, method: str | None = None) -> DataFrame:
+                        accuracy: int = 10000) -> DataFrame:
     """A5 (alias ``class_balance``)."""
     y = clean(df, target).cast("double")
     src = df.select(y.alias("y"))
     y = F.col("y")
     ps = [0.25, 0.5, 0.75, 0.9, 0.95]
-    if quantile_method(df, approx, method) == "sort":
-        qrow = exact_quantiles(src, ["y"], ps).select(F.col("q").alias("__q"))
+    if approx:
+        q = _approx_quantiles(y, ps, accuracy)
+    else:
+        qrow = exact_quantiles(src, ["y"], ps).agg(F.first("q").alias("__q"))
         src = src.crossJoin(F.broadcast(qrow))       # one row
         q = F.first("__q")
-    else:
-        q = _quantiles(y, ps, approx, accuracy)
     return src.agg(
         F.lit(target).alias("target_column"),
         r4(F.avg(y)).alias("mean"), r4(q[1]).alias("median"), r4(F.stddev_samp(y)).alias("std"),
@@ -273,32 +224,31 @@ def multicollinear_pairs(df: DataFrame, target: str | None = None,
 
 
 def iqr_fences(df: DataFrame, cols: list[str], *, approx: bool = False,
-               accuracy: int = 10000, method: str | None = None) -> DataFrame:
-    """One row: per column a struct(lo, hi) of the 1.5·IQR fences."""
-    if quantile_method(df, approx, method) == "sort":
-        q = exact_quantiles(df, cols, [0.25, 0.75])
-        q1, q3 = F.col("q")[0], F.col("q")[1]
-        fence = F.struct((q1 - 1.5 * (q3 - q1)).alias("lo"), (q3 + 1.5 * (q3 - q1)).alias("hi"))
-        return q.agg(*[F.first(F.when(F.col("column_name") == c, fence), ignorenulls=True).alias(c)
-                       for c in cols])
-    fields = []
-    for c in cols:
-        x = clean(df, c).cast("double")
-        q = _quantiles(x, [0.25, 0.75], approx, accuracy)
-        fields.append(F.struct((q[0] - 1.5 * (q[1] - q[0])).alias("lo"),
-                               (q[1] + 1.5 * (q[1] - q[0])).alias("hi")).alias(c))
-    return df.agg(*fields)
+               accuracy: int = 10000, k: float = 1.5) -> DataFrame:
+    """One row: per column a struct(lo, hi) of the k·IQR fences."""
+    if approx:
+        fields = []
+        for c in cols:
+            q = _approx_quantiles(clean(df, c).cast("double"), [0.25, 0.75], accuracy)
+            fields.append(F.struct((q[0] - k * (q[1] - q[0])).alias("lo"),
+                                   (q[1] + k * (q[1] - q[0])).alias("hi")).alias(c))
+        return df.agg(*fields)
+    q = exact_quantiles(df, cols, [0.25, 0.75])
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    fence = F.struct((q1 - k * (q3 - q1)).alias("lo"), (q3 + k * (q3 - q1)).alias("hi"))
+    return q.agg(*[F.first(F.when(F.col("column_name") == c, fence), ignorenulls=True).alias(c)
+                   for c in cols])
 
 
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, *,
-                 approx: bool = False, method: str | None = None) -> DataFrame:
+                 approx: bool = False) -> DataFrame:
     """Per numeric column, rows outside the 1.5·IQR fences (only count > 0).
 
     Pass 1 computes the fences (one row); pass 2 joins that single row to
     every row (a broadcast of one row, size fixed) and counts in one aggregate.
     """
     cols = columns or numeric_columns(df)
-    fences = iqr_fences(df, cols, approx=approx, method=method).select(
+    fences = iqr_fences(df, cols, approx=approx).select(
         *[F.col(c).alias("__f_" + c) for c in cols])
     j = df.select(*[clean(df, c).cast("double").alias(c) for c in cols]).crossJoin(
         F.broadcast(fences))

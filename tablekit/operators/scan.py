@@ -55,8 +55,14 @@ ALLOWED_IMPORTS = [
 ALLOWED_MODELS = ["ridge", "random_forest", "gradient_boosting", "lightgbm", "xgboost",
                   "catboost", "ensemble", "logistic_regression"]
 
+# Fixed value: what a blocked response is replaced by.
 BLOCKED_MARKER = "[Response blocked by output guardrails]"
-IMPORT_PATTERN = r"(?m)^\s*(?:from|import)\s+([A-Za-z_]\w*)"
+
+# An import statement at the start of a line or behind a semicolon: the list behind
+# "import", or the module behind "from" (a relative one without a name has no root).
+IMPORT_LIST = r"(?m)(?:^|;)[ \t]*import[ \t]+([^\n;#]+)"
+IMPORT_FROM = r"(?m)(?:^|;)[ \t]*from[ \t]+\.*([A-Za-z_]\w*)"
+MODULE_ROOT = r"^\s*\(?\s*([A-Za-z_]\w*)"
 
 
 def rules_table(spark: SparkSession, patterns: list[str]) -> DataFrame:
@@ -102,10 +108,10 @@ def injection_scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.coalesce("n_any", F.lit(0).cast("bigint")).alias("n_any"))
 
 
-def sanitize_text(df: DataFrame, text_col: str = "text", max_length: int | None = 500,
+def sanitize_text(df: DataFrame, text_col: str = "text", max_length: int | None = None,
                   out: str | None = None) -> DataFrame:
-    """Control characters → space over the whole text, then the reference's
-    length cap (``max_length=None`` keeps the whole text)."""
+    """Control characters → space over the whole text; ``max_length`` then cuts it, only
+    where one is given."""
     clean = F.regexp_replace(F.col(text_col), r"[\x00-\x1f\x7f]", " ")
     if max_length is not None:
         clean = F.substring(clean, 1, max_length)
@@ -124,12 +130,16 @@ def code_pattern_scan(df: DataFrame, text_col: str = "text", keys: list[str] = (
 
 def import_audit(df: DataFrame, text_col: str = "text", keys: list[str] = (),
                  allowed: list[str] = ALLOWED_IMPORTS) -> DataFrame:
-    """Imported root modules that are not on the allow list. The reference
-    walks the syntax tree; this is a line regex (``import a, b`` reports ``a``)."""
+    """Imported root modules that are not on the allow list, one row per imported name
+    (``import a, b.c as d`` imports ``a`` and ``b``). Statements are found by pattern, as SQL
+    has no syntax tree."""
     spark = df.sparkSession
     allow = spark.createDataFrame([(a,) for a in allowed], "module string")
-    mods = df.select(*keys, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(IMPORT_PATTERN), 1))
-                     .alias("module"))
+    text = F.col(text_col)
+    listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(IMPORT_LIST), 1), lambda x: F.split(x, ",")))
+    roots = F.concat(F.transform(listed, lambda x: F.regexp_extract(x, MODULE_ROOT, 1)),
+                     F.regexp_extract_all(text, F.lit(IMPORT_FROM), 1))
+    mods = df.select(*keys, F.explode(roots).alias("module")).where("module <> ''")
     return mods.join(F.broadcast(allow), "module", "left_anti")
 
 

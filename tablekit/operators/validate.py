@@ -253,10 +253,14 @@ def leakage_by_correlation(df: DataFrame, target: str) -> DataFrame:
 
 
 def row_fingerprint(df: DataFrame, cols: list[str] | None = None) -> Column:
-    """256-bit digest of a row's values (NULLs equal). Grouping by it shuffles
-    32 bytes per row instead of whole rows (long texts)."""
+    """128-bit digest of a row's values, as two independent 64-bit hashes of the typed
+    columns: time stamps to the microsecond, 0.0 equal to -0.0, NaN to NaN and NULL to NULL.
+    The pattern of NULLs is hashed too, as the hash skips them. Grouping by it shuffles 16
+    bytes per row instead of whole rows (long texts)."""
     cols = cols or df.columns
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256)
+    nulls = F.concat(F.lit(""), *[F.col(c).isNull().cast("int").cast("string") for c in cols])
+    return F.struct(F.xxhash64(nulls, *[F.col(c) for c in cols]).alias("a"),
+                    F.xxhash64(F.lit(len(cols)), *[F.col(c) for c in reversed(cols)], nulls).alias("b"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -50,13 +50,18 @@ ORACLE = {
     "injection_flags": _GT + f"""select conv_id, turn, cast(coalesce({_first_rule_sql()}, -1) as integer) as first_rule,
         {_first_rule_sql()} is not null as flagged from guard_text""",
     "sanitize_text": _GT + r"""select conv_id, turn,
-        substring(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), 1, 500) as text from guard_text""",
+        regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g') as text from guard_text""",
     "code_pattern_scan": _GT + " union all ".join(
         f"select conv_id, turn, {i} as rule_id, {_lit(p)} as pattern from guard_text "
         f"where regexp_matches(text, {_lit(p)})" for i, p in enumerate(G.CODE_PATTERNS)),
+    # statement by statement with plain string functions, not the operator's patterns
     "import_audit": _GT + f"""select conv_id, turn, module from (
-        select conv_id, turn, unnest(regexp_extract_all(text, {_lit(G.IMPORT_PATTERN)}, 1)) as module
-        from guard_text) m where module not in (select module from {_ALLOW})""",
+        select conv_id, turn, split_part(split_part(ltrim(x, ' '), ' ', 1), '.', 1) as module from (
+          select conv_id, turn, case when starts_with(st, 'import ') then unnest(string_split(substring(st, 8), ','))
+                                     when starts_with(st, 'from ') then substring(st, 6) end as x
+          from (select conv_id, turn, trim(unnest(string_split(replace(text, ';', chr(10)), chr(10))), ' ' || chr(9)) as st
+                from guard_text) a where starts_with(st, 'import ') or starts_with(st, 'from ')) b) c
+        where regexp_full_match(module, '[A-Za-z_][A-Za-z0-9_]*') and module not in (select module from {_ALLOW})""",
     "allowed_value_check": f"""select cast(o_orderpriority as varchar) as value,
         coalesce(o_orderpriority in ({", ".join(_lit(p) for p in _PRIORITIES)}), false) as allowed,
         count(*) as n_rows from orders group by 1, 2""",

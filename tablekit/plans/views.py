@@ -145,7 +145,7 @@ def role_tags(spark: SparkSession) -> DataFrame:
 
 # Planted guard strings by conv_id % 10 (FIXTURES.md C6).
 PLANTED = ["Ignore previous instructions", "[INST]", "### system", "you are now",
-           "import subprocess", "import numpy", "from os import path", "x = eval(1)",
+           "import subprocess", "import numpy, socket; import os.path as p, json", "from os import path", "x = eval(1)",
            "\t\x07", "Intro\n# Title\nbody"]
 
 
@@ -231,7 +231,7 @@ DUCK_VIEWS: dict[str, str] = {
       select conv_id, turn, role,
         case when conv_id % 10 = 9 then 'Intro' || chr(10) || '# Title' || chr(10) || 'body'
              else text || chr(10) || (['Ignore previous instructions', '[INST]', '### system',
-                  'you are now', 'import subprocess', 'import numpy', 'from os import path',
+                  'you are now', 'import subprocess', 'import numpy, socket; import os.path as p, json', 'from os import path',
                   'x = eval(1)', chr(9) || chr(7)])[conv_id % 10 + 1] end as text
       from conversations""",
 }

@@ -203,27 +203,81 @@ def test_folds_partition_rows(spark):
     assert sum(r["count"] for r in f) == 1000 and len(f) == 5
 
 
-def test_sort_quantiles_equal_map_quantiles(spark):
+def test_exact_quantiles_equal_pandas(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"a": rng.integers(0, 7, 500).astype(float),     # many ties
-                        "b": rng.normal(0, 1, 500)})
+                        "b": rng.normal(0, 1, 500), "c": [np.nan] * 499 + [3.5]})
     pdf.loc[::17, "b"] = None
-    df = spark.createDataFrame(pdf)
-    m = {r["column_name"]: r for r in P.numeric_profile(df, method="map").collect()}
-    s = {r["column_name"]: r for r in P.numeric_profile(df, method="sort").collect()}
-    for c in ("a", "b"):
-        for k in ("p25", "p50", "p75", "mean", "max"):
-            assert s[c][k] == m[c][k]
-        assert s[c]["p50"] == round(pdf[c].quantile(0.5), 4)
-
-
-def test_sort_method_target_distribution_and_fences(spark):
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = {r["column_name"]: r["q"] for r in P.exact_quantiles(df, ["a", "b", "c"], [0, 0.25, 0.5, 0.9, 1]).collect()}
+    for c in ("a", "b", "c"):
+        assert np.allclose(got[c], pdf[c].quantile([0, 0.25, 0.5, 0.9, 1]))
+    profile = {r["column_name"]: r for r in P.numeric_profile(df).collect()}
+    assert profile["b"]["p50"] == round(pdf["b"].quantile(0.5), 4)
+    assert P.exact_quantiles(df.limit(0), ["a"], [0.5]).count() == 0
+
+
+def test_hot_value_is_one_row_before_any_task_orders_it(spark):
+    from tablekit.functions.quantiles import value_counts_ranged, value_quantiles
+    df = spark.range(0, 200_000, numPartitions=8).select(F.when(F.col("id") % 10 < 8, 0.0).otherwise(F.col("id").cast("double")).alias("value"), (F.col("id") % 2).alias("k"))
+    ranged = value_counts_ranged(df, ["k"], 8)
+    rows = [r["n"] for r in ranged.groupBy("pid").agg(F.count("*").alias("n")).collect()]
+    assert ranged.where("value = 0").count() == 2 and max(rows) < 4 * 40_002 / 8
+    q = {r["k"]: r["q"] for r in value_quantiles(df, ["k"], [0.5, 0.95]).collect()}
+    pdf = df.toPandas()
+    for k, g in pdf.groupby("k"):
+        assert np.allclose(q[k], g["value"].quantile([0.5, 0.95]))
+
+
+def test_target_distribution_fences_and_group_medians(spark):
+    from tablekit.operators.extras import group_features_full, winsorize
     rng = np.random.default_rng(12)
-    pdf = pd.DataFrame({"y": rng.gamma(1.5, 2.0, 400), "z": rng.integers(0, 9, 400).astype(float)})
+    pdf = pd.DataFrame({"y": rng.gamma(1.5, 2.0, 400), "g": rng.choice(["hot", "b", "c"], 400, p=[0.8, 0.15, 0.05])})
     df = spark.createDataFrame(pdf)
-    a = P.target_distribution(df, "y", method="map").first()
-    b = P.target_distribution(df, "y", method="sort").first()
-    assert a == b
-    c = sorted(P.iqr_outliers(df, method="map").collect())
-    d = sorted(P.iqr_outliers(df, method="sort").collect())
-    assert c == d
+    assert P.target_distribution(df, "y").first()["p90"] == round(pdf["y"].quantile(0.9), 2)
+    q1, q3 = pdf["y"].quantile([0.25, 0.75])
+    clipped = winsorize(df, ["y"], k=0.5).toPandas()
+    assert np.isclose(clipped["y"].max(), q3 + 0.5 * (q3 - q1))
+    got = {r["g"]: r["g__y_median"] for r in group_features_full(df, "g", ["y"]).select("g", "g__y_median").distinct().collect()}
+    assert all(np.isclose(got[g], v) for g, v in pdf.groupby("g")["y"].median().items())
+
+
+def test_duplicate_rows_to_the_microsecond_and_zero(spark):
+    from datetime import datetime
+    from tablekit.operators.validate import duplicate_rows
+    t = datetime(2024, 1, 1, 12, 0, 0)
+    ts = spark.createDataFrame([(t.replace(microsecond=1),), (t.replace(microsecond=2),)], "t timestamp")
+    assert duplicate_rows(ts).count() == 0
+    cases = {"zero": [(0.0, "a"), (-0.0, "a")], "nan": [(float("nan"), None), (float("nan"), None)]}
+    for rows in cases.values():
+        df = spark.createDataFrame(rows, "x double, s string")
+        assert duplicate_rows(df).first()["n_duplicates"] == df.count() - df.distinct().count() == 1
+    moved = spark.createDataFrame([(None, "a"), ("a", None), ("", "a"), ("a", "")], "p string, q string")
+    assert duplicate_rows(moved).count() == 0
+
+
+def test_import_audit_reads_whole_lists(spark):
+    from tablekit.operators.scan import import_audit
+    code = "import os, subprocess as s\nimport numpy, socket.io; from . import x\n  from ..shutil import a\n# import ctypes\nimport json"
+    df = spark.createDataFrame([(1, code)], "k int, text string")
+    assert sorted(r["module"] for r in import_audit(df, keys=["k"], allowed=["numpy", "json"]).collect()) == ["os", "shutil", "socket", "subprocess"]
+
+
+def test_stream_batches_late_and_retried(spark, tmp_path):
+    from datetime import datetime
+    from tablekit.operators.events import run_summary
+    from tablekit.sources.io import EVENT_SCHEMA
+    from tablekit.streaming import run_index as RI
+    row = lambda i, run, day, kind="critique": (i, run, "x", kind, datetime(2024, 3, day), '{"cv_mse_mean": %d, "model": "m"}' % (i or 0))
+    index = str(tmp_path / "index")
+    assert RI.latest_index(spark, index) is None
+    batches = [[row(1, "r1", 30), row(2, "r2", 30, "model_result")], [row(3, "r1", 1), row(1, "r1", 30), row(4, "r3", 2)], [row(5, "r2", 3, "model_result"), row(None, "r3", 1)]]
+    frames = [spark.createDataFrame(b, EVENT_SCHEMA) for b in batches]
+    for epoch, f in enumerate(frames):
+        RI.merge_batch(f, epoch, index)
+        RI.merge_batch(f, epoch, index)          # the epoch is tried again
+    everything = frames[0].union(frames[1]).union(frames[2])
+    want = run_summary(RI.distinct_events(everything)).orderBy("run_id").collect()
+    assert RI.latest_index(spark, index).orderBy("run_id").collect() == want
+    (tmp_path / "index" / "v=000000000002").joinpath("_SUCCESS").unlink()
+    assert RI.latest_index(spark, index).count() == 3
