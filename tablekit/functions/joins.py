@@ -1,7 +1,7 @@
 """Join and ranking helpers that keep the plan distributed.
 
-* ``bounded_broadcast``: broadcast a side only after its row count is
-  checked against a bound; otherwise the join stays a shuffle join and AQE's
+* ``bounded_broadcast``: broadcast a side only after its size is
+  checked against a bound in bytes; otherwise the join stays a shuffle join and AQE's
   skew-join splitting handles hot keys.
 * ``dense_index``: consecutive 0-based positions over a global order without
   an unpartitioned window — range-partition, number rows inside each
@@ -13,29 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table that several later plans read once to the shared
     checkpoint folder (``spark.checkpoint.dir``) and read it back: cuts the
-    lineage (survives executor loss) and stops each reader from recomputing
-    it. Without a configured folder it is cached instead."""
+    lineage (survives executor loss) and stops each reader from recomputing it."""
     from tablekit.session import checkpoint_dir
-    try:
-        checkpoint_dir(df.sparkSession)
-    except RuntimeError:
-        df = df.persist()
-        df.count()
-        return df
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Persist ``small`` (an aggregate), count it, broadcast it only within the bound."""
-    small = small.persist()
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+def bounded_broadcast(small: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``small`` (an aggregate) only when its rows, once computed, take no more
+    than ``max_bytes``; otherwise the join stays a shuffle join."""
+    small = materialize(small)
+    size = F.sum(sum([F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))) for c in small.columns], F.lit(0)))
+    return F.broadcast(small) if (small.agg(size.alias("n")).first()["n"] or 0) <= max_bytes else small
 
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",

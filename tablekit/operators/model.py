@@ -5,8 +5,8 @@ partitioning). Encoders and the preprocessing are fitted inside every fold on
 that fold's training rows; fitted statistics are one-row aggregates (schema
 sized) or small code tables joined back. Training itself is Spark ML
 (``LinearRegression``, ``RandomForestRegressor``, ``GBTRegressor``,
-``GBTClassifier``); cross-validation loops over folds on the driver the way
-``CrossValidator`` does, each fold a set of distributed jobs.
+``GBTClassifier``); cross-validation submits the folds' jobs side by side the
+way ``CrossValidator`` does.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import json
 import math
 import os
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -22,6 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,14 @@ from tablekit.operators import features as FE
 SEED = 42
 N_FOLDS = 5
 HOLDOUT_FOLDS = 5          # one of five hash folds is the 20 % holdout
-CLIP = (0.0, 365.0)
+CLIP = (None, None)        # no range is assumed of a label; callers pass one
 ZERO_INFLATION = 0.15
 MIN_POSITIVE = 10
 HIGH_CARD = 10
 RIDGE_ALPHA = 10.0
 
-# Model parameter profiles (the reference's settings, mapped to Spark ML).
+# Model parameters, as Spark ML's tree learners have them. Settings without a
+# counterpart there (leaf and weight penalties, bagging temperature) are left out.
 PROFILES = {
     "ridge": {"alpha": RIDGE_ALPHA},
     "random_forest": {"numTrees": 300, "featureSubsetStrategy": "0.5", "minInstancesPerNode": 5,
@@ -48,12 +51,22 @@ PROFILES = {
     "gradient_boosting": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8,
                           "minInstancesPerNode": 10},
     # boosted variants: leaf-heavy, depth-6 with column sampling, depth-6 regularised
-    "lightgbm": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8,
+    # (127 leaves are a tree of depth 7; column shares per tree and level multiply)
+    "lightgbm": {"maxIter": 2000, "stepSize": 0.03, "maxDepth": 7, "subsamplingRate": 0.8,
+                 "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20, "minInfoGain": 0.01},
+    "xgboost": {"maxIter": 2000, "stepSize": 0.03, "maxDepth": 6, "subsamplingRate": 0.8,
+                "featureSubsetStrategy": "0.64", "minInstancesPerNode": 5},
+    "catboost": {"maxIter": 2000, "stepSize": 0.03, "maxDepth": 6,
+                 "minInstancesPerNode": 20, "minInfoGain": 0.0},
+}
+# Classifier settings per family (the two-stage model's first stage).
+CLASSIFIERS = {
+    "lightgbm": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8,
                  "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20},
     "xgboost": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8,
-                "featureSubsetStrategy": "0.8", "minInstancesPerNode": 1},
-    "catboost": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8,
-                 "minInstancesPerNode": 1, "minInfoGain": 0.0},
+                "featureSubsetStrategy": "0.8"},
+    "catboost": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6},
+    "gradient_boosting": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8},
 }
 BOOSTED = ["lightgbm", "xgboost", "catboost"]
 MODELS = ["ridge", "random_forest", "gradient_boosting", *BOOSTED, "ensemble", "two_stage"]
@@ -211,10 +224,10 @@ def fit_gbt(df: DataFrame, label: str = "label", profile: str = "gradient_boosti
     return Fitted(profile, [est.fit(df)])
 
 
-def fit_classifier(df: DataFrame, label: str = "label", profile: str = "gradient_boosting",
+def fit_classifier(df: DataFrame, label: str = "label", profile: str = "lightgbm",
                    **overrides):
-    """M7: P(y > 0) with a boosted classifier."""
-    p = {**PROFILES[profile], **overrides}
+    """M7: P(y > 0) with a boosted classifier of one family's settings."""
+    p = {**CLASSIFIERS[profile], **overrides}
     d = df.withColumn("__pos", (F.col(label) > 0).cast("double"))
     est = _tree_params(GBTClassifier(featuresCol="features", labelCol="__pos", seed=SEED), p)
     return est.fit(d)
@@ -234,7 +247,7 @@ def fit_two_stage(df: DataFrame, label: str = "label", **overrides) -> Fitted:
     r = pos.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("m")).first()
     if r["n"] < MIN_POSITIVE:
         return Fitted("two_stage", [clf, None], const=float(r["m"] or 0.0))
-    return Fitted("two_stage", [clf, fit_gbt(pos, label, **overrides).models[0]])
+    return Fitted("two_stage", [clf, fit_gbt(pos, label, "lightgbm", **overrides).models[0]])
 
 
 def fit_model(name: str, df: DataFrame, label: str = "label", **overrides) -> Fitted:
@@ -362,21 +375,27 @@ def predict_with(fitted: Fitted, enc, prep, df: DataFrame, lo=CLIP[0], hi=CLIP[1
     p = fitted.predict(_apply(df, enc, prep))
     if fitted.log_target:
         p = p.withColumn("prediction", F.expm1("prediction"))
-    return p.withColumn("prediction", clip("prediction", lo, hi)).drop("features")
+    if lo is not None or hi is not None:
+        p = p.withColumn("prediction", clip("prediction", lo, hi))
+    return p.drop("features")
 
 
 def cross_validate(df: DataFrame, label: str, features: list[str], key: str, model: str,
-                   k: int = N_FOLDS, fold_col: str | None = None, **overrides) -> DataFrame:
+                   k: int = N_FOLDS, fold_col: str | None = None, parallelism: int = 2,
+                   **overrides) -> DataFrame:
     """Per fold refit everything on the other folds; MSE per fold, then
     mean, population std and RMSE = sqrt(mean MSE). Returns one row."""
     d = (df if fold_col else kfold_assign(df, key, k, "__cvfold")).persist()
     fc = fold_col or "__cvfold"
-    rows = []
-    for f in range(k):
+
+    def one(f):
         tr, va = d.where(F.col(fc) != f), d.where(F.col(fc) == f)
         fitted, enc, prep = fit_once(tr, label, features, key, model, **overrides)
-        m = regression_metrics(predict_with(fitted, enc, prep, va), label).first()
-        rows.append(m["mse"])
+        return regression_metrics(predict_with(fitted, enc, prep, va), label).first()["mse"]
+
+    # folds are independent sets of jobs: submitted side by side, as CrossValidator does
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(inheritable_thread_target(one), range(k))
     d.unpersist()
     mean = sum(rows) / len(rows)
     std = math.sqrt(sum((x - mean) ** 2 for x in rows) / len(rows))
@@ -387,14 +406,17 @@ def cross_validate(df: DataFrame, label: str, features: list[str], key: str, mod
 
 
 def train_and_evaluate(df: DataFrame, label: str, features: list[str], key: str,
-                       model: str = "gradient_boosting", k: int = N_FOLDS, **overrides) -> DataFrame:
-    """Holdout metrics of a model fitted on the 80 % part, plus k-fold CV
-    on that part. One row per model."""
+                       model: str = "gradient_boosting", k: int = N_FOLDS, save_path: str | None = None,
+                       **overrides) -> DataFrame:
+    """Holdout metrics of a model fitted on the 80 % part, plus k-fold CV over all rows;
+    with ``save_path`` the fitted model is saved there. One row per model."""
     d = holdout_split(df, key).persist()
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     fitted, enc, prep = fit_once(train, label, features, key, model, **overrides)
     hold = regression_metrics(predict_with(fitted, enc, prep, test), label).first()
-    cv = cross_validate(train, label, features, key, model, k, **overrides).first()
+    cv = cross_validate(df, label, features, key, model, k, **overrides).first()
+    if save_path:
+        save_model(fitted, enc, prep, save_path)
     d.unpersist()
     return df.sparkSession.createDataFrame(
         [(model, hold["mse"], hold["rmse"], hold["mae"], hold["r2"], cv["cv_mse_mean"],
@@ -427,15 +449,11 @@ def compare_models(df: DataFrame, label: str, features: list[str], key: str,
     return out.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
-def feature_importance(df: DataFrame, label: str, features: list[str], key: str, top_n: int = 10,
-                       **overrides) -> DataFrame:
-    """Top-n importances of a boosted model (forest as the fallback)."""
+def feature_importance(df: DataFrame, label: str, features: list[str], key: str, top_n: int = 20,
+                       model: str = "gradient_boosting", **overrides) -> DataFrame:
+    """Top-n importances of a tree model (``random_forest`` or a boosted one)."""
     overrides = {"maxIter": 200, **overrides}
-    try:
-        fitted, enc, prep = fit_once(df, label, features, key, "gradient_boosting", **overrides)
-    except Exception:  # noqa: BLE001
-        rf = {k: v for k, v in overrides.items() if k != "maxIter"}
-        fitted, enc, prep = fit_once(df, label, features, key, "random_forest", numTrees=100, **rf)
+    fitted, enc, prep = fit_once(df, label, features, key, model, **overrides)
     imp = fitted.models[0].featureImportances.toArray().tolist()
     rows = sorted(zip(prep.feature_names, imp), key=lambda t: (-t[1], t[0]))[:top_n]
     return df.sparkSession.createDataFrame(
@@ -443,32 +461,63 @@ def feature_importance(df: DataFrame, label: str, features: list[str], key: str,
         "rank int, feature string, importance double")
 
 
-# Search spaces (ranges of the reference's tuner, mapped to Spark ML names).
+# Search spaces of the tuner under Spark ML's names: (low, high, scale), where
+# the scale is "log", "real" or the step of an integer range.
 SEARCH_SPACES = {
-    "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
-    "random_forest": {"numTrees": [100, 300], "maxDepth": [8, 16, 30], "minInstancesPerNode": [1, 5, 10]},
-    "gradient_boosting": {"maxIter": [100, 300, 500], "stepSize": [0.01, 0.05, 0.1],
-                          "maxDepth": [3, 5, 8], "subsamplingRate": [0.6, 0.8, 1.0]},
+    "ridge": {"alpha": (0.01, 100.0, "log")},
+    "random_forest": {"numTrees": (100, 500, 50), "featureSubsetStrategy": (0.3, 1.0, "real"),
+                      "minInstancesPerNode": (1, 20, 1), "maxDepth": (5, 30, 1)},
+    "gradient_boosting": {"maxIter": (100, 1000, 50), "stepSize": (0.01, 0.2, "log"), "maxDepth": (3, 8, 1),
+                          "subsamplingRate": (0.5, 1.0, "real"), "minInstancesPerNode": (1, 20, 1)},
+    "lightgbm": {"maxIter": (300, 3000, 100), "stepSize": (0.01, 0.1, "log"), "maxDepth": (3, 12, 1),
+                 "minInstancesPerNode": (5, 100, 1), "subsamplingRate": (0.5, 1.0, "real"),
+                 "featureSubsetStrategy": (0.5, 1.0, "real")},
+    "xgboost": {"maxIter": (300, 3000, 100), "stepSize": (0.01, 0.1, "log"), "maxDepth": (3, 10, 1),
+                "minInstancesPerNode": (1, 20, 1), "subsamplingRate": (0.5, 1.0, "real"),
+                "featureSubsetStrategy": (0.5, 1.0, "real"), "minInfoGain": (0.0, 5.0, "real")},
+    "catboost": {"maxIter": (300, 3000, 100), "stepSize": (0.01, 0.1, "log"), "maxDepth": (4, 10, 1),
+                 "minInstancesPerNode": (1, 50, 1)},
 }
 
 
+def sample_params(space: dict, rnd) -> dict:
+    """One random point of a search space; a list is a choice."""
+    out = {}
+    for name, r in space.items():
+        if isinstance(r, list):
+            out[name] = rnd.choice(r)
+            continue
+        lo, hi, scale = r
+        x = math.exp(rnd.uniform(math.log(lo), math.log(hi))) if scale == "log" else \
+            rnd.uniform(lo, hi) if scale == "real" else rnd.randrange(lo, hi + 1, scale)
+        out[name] = str(round(x, 4)) if name == "featureSubsetStrategy" else x
+    return out
+
+
 def tune_hyperparameters(df: DataFrame, label: str, features: list[str], key: str, model: str,
                          n_trials: int = 30, k: int = N_FOLDS, seed: int = SEED,
-                         space: dict | None = None) -> DataFrame:
-    """Seeded random search over a parameter grid, minimising CV MSE.
-    One row per trial, ranked (the sequential TPE sampler is not built)."""
-    import itertools
+                         space: dict | None = None, save_path: str | None = None,
+                         **overrides) -> DataFrame:
+    """Seeded random search minimising CV MSE; the best parameters are then fitted on
+    the 80 % part and measured on the holdout, and saved with ``save_path``. One row per
+    trial, ranked; the holdout columns are set on the best (the sequential sampler is not
+    built)."""
     import random
-    space = space or SEARCH_SPACES[model]
-    grid = [dict(zip(space, v)) for v in itertools.product(*space.values())]
     rnd = random.Random(seed)
-    trials = grid if len(grid) <= n_trials else rnd.sample(grid, n_trials)
+    trials = [{**overrides, **sample_params(space or SEARCH_SPACES[model], rnd)} for _ in range(n_trials)]
     rows = []
     for i, params in enumerate(trials):
         cv = cross_validate(df, label, features, key, model, k, **params).first()
         rows.append((i, json.dumps(params, sort_keys=True), cv["cv_mse_mean"], cv["cv_rmse_mean"]))
-    out = df.sparkSession.createDataFrame(rows, "trial int, params string, cv_mse_mean double, "
-                                                "cv_rmse_mean double")
+    best = min(rows, key=lambda r: (r[2], r[0]))[0]
+    d = holdout_split(df, key)
+    fitted, enc, prep = fit_once(d.where(F.col("split") == "train"), label, features, key, model, **trials[best])
+    hold = regression_metrics(predict_with(fitted, enc, prep, d.where(F.col("split") == "test")), label).first()
+    if save_path:
+        save_model(fitted, enc, prep, save_path)
+    out = df.sparkSession.createDataFrame(
+        [(*r, hold["mse"] if r[0] == best else None, hold["r2"] if r[0] == best else None) for r in rows],
+        "trial int, params string, cv_mse_mean double, cv_rmse_mean double, holdout_mse double, holdout_r2 double")
     w = Window.orderBy("cv_mse_mean", "trial")   # one row per trial
     return out.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
@@ -525,11 +574,11 @@ def load_model(spark, path: str):
                "GBTClassificationModel": GBTClassificationModel}
     models = [readers[t].load(os.path.join(path, f"model_{i}")) if t else None
               for i, t in enumerate(meta["model_types"])]
-    codes = {c: F.broadcast(spark.read.parquet(os.path.join(path, f"codes_{c}")))
+    codes = {c: bounded_broadcast(spark.read.parquet(os.path.join(path, f"codes_{c}")))
              for c in meta["categorical"]}
     prep = Prep(meta["numeric"], meta["categorical"], meta["medians"], meta["means"], meta["stds"],
                 meta["modes"], codes)
-    enc = [FE.TargetEncoding(c, F.broadcast(spark.read.parquet(os.path.join(path, f"te_{i}"))),
+    enc = [FE.TargetEncoding(c, bounded_broadcast(spark.read.parquet(os.path.join(path, f"te_{i}"))),
                              spark.read.parquet(os.path.join(path, f"te_gm_{i}")), c)
            for i, c in enumerate(meta["encoders"])]
     fitted = Fitted(meta["kind"], models, meta["const"], meta["log_target"])

@@ -289,9 +289,11 @@ class Retriever:
     def _small(self, queries: DataFrame) -> bool:
         # checked once per query table; every query-keyed side is bounded by it
         cache = self.__dict__.setdefault("_budget", {})
-        if id(queries) not in cache:
-            cache[id(queries)] = query_batch_fits_broadcast(queries)
-        return cache[id(queries)]
+        # the frame itself is held, so its identity cannot be taken by another one
+        held = cache.get("queries")
+        if held is None or held[0] is not queries:
+            cache["queries"] = held = (queries, query_batch_fits_broadcast(queries))
+        return held[1]
 
     def pairs(self, queries: DataFrame) -> DataFrame:
         small = self._small(queries)

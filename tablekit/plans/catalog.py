@@ -38,9 +38,6 @@ def prepare_session(spark) -> None:
 def _wrap(fn):
     def run(spark, sf_dir):
         prepare_session(spark)
-        # tables cached by an earlier query are not needed by this one (results
-        # never depend on a cache: it is an optimisation only); free the memory
-        spark.catalog.clearCache()
         return fn(spark, sf_dir)
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__

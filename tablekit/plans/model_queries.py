@@ -7,9 +7,6 @@ registered check stays short; the operators' defaults are the full settings.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tablekit.operators import events as E
@@ -19,7 +16,7 @@ from tablekit.operators import profile as P
 from tablekit.operators import validate as VA
 from tablekit.plans import views as V
 from tablekit.plans.views import H_DUCK, duck_with
-from tablekit.session import checkpoint_dir
+from tablekit.session import scratch_path
 
 QUICK = {"maxIter": 8, "numTrees": 8, "maxDepth": 4}
 LABEL, KEY = "target", "row_key"
@@ -147,8 +144,7 @@ def _importance(s, d):
 
 def _tune(s, d):
     df = _model_table(s, d)
-    return _eager(M.tune_hyperparameters(df, LABEL, _features(df), KEY, "ridge", n_trials=3, k=3,
-                                         space={"alpha": [0.1, 10.0, 100.0]}), df)
+    return _eager(M.tune_hyperparameters(df, LABEL, _features(df), KEY, "ridge", n_trials=5), df)
 
 
 def _batch_score(s, d):
@@ -158,29 +154,36 @@ def _batch_score(s, d):
     return _eager(M.prediction_summary(out), df)
 
 
-def _scratch(spark, name):
-    base = checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="tablekit-", dir="/tmp"))
-    return os.path.join(base, name + "-" + next(tempfile._get_candidate_names()))
-
-
 def _write_predictions(s, d):
     df = _model_table(s, d)
     out = M.batch_score(df, df.drop(LABEL), LABEL, _features(df), KEY, "ridge")
-    path = _scratch(s, "predictions")
+    path = scratch_path(s, "predictions")
     M.write_predictions(out, path, "parquet", order_by=[KEY])
     df.unpersist()
     return s.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("min_id"),
                                      F.max("id").alias("max_id"))
 
 
-def _model_io(s, d):
+def _evaluate_saved(s, d):
     df = _model_table(s, d)
     fitted, enc, prep = M.fit_once(df, LABEL, _features(df), KEY, "ridge")
-    path = _scratch(s, "model")
+    path = scratch_path(s, "model")
     M.save_model(fitted, enc, prep, path)
     return _eager(M.evaluate_saved_model(s, path, df, LABEL, KEY), df)
 
 
+def _model_io(s, d):
+    """Predictions of the saved and loaded model against those of the fitted one."""
+    df = _model_table(s, d)
+    fitted, enc, prep = M.fit_once(df, LABEL, _features(df), KEY, "ridge")
+    path = scratch_path(s, "model")
+    M.save_model(fitted, enc, prep, path)
+    shown = lambda p: p.select(KEY, F.round("prediction", 6).alias("prediction"))
+    one, two = shown(M.predict_with(fitted, enc, prep, df)), shown(M.predict_with(*M.load_model(s, path), df))
+    different = one.exceptAll(two).agg(F.count(F.lit(1)).alias("n_different"))
+    return _eager(two.agg(F.count(F.lit(1)).alias("n")).crossJoin(different), df)
+
+
 def _preprocess(s, d):
     df = _model_table(s, d)
     prep = M.fit_preprocess(df, _features(df))
@@ -190,15 +193,15 @@ def _preprocess(s, d):
 
 
 def _encode_and_log(s, d):
-    df = _model_table(s, d)
+    df = FE.prepare_table(V.train_view(s, d), None, ["leaky"], indicator_cols=[])
     tr, te, log = M.encode_and_log(df, df.drop(LABEL), LABEL, _features(df), KEY)
-    return _eager(tr.select(KEY, LABEL, "p_brand").withColumn("log_applied", F.lit(log)), df)
+    return tr.select(KEY, LABEL, "p_brand").withColumn("log_applied", F.lit(log))
 
 
 QUERIES = {
     "preprocess": _preprocess,
     "encode_and_log": _encode_and_log,
-    "evaluate_saved_model": _model_io,
+    "evaluate_saved_model": _evaluate_saved,
     "holdout_split": lambda s, d: M.holdout_split(V.train_view(s, d).select(KEY), KEY),
     "kfold_assign": lambda s, d: M.kfold_assign(V.train_view(s, d).select(KEY), KEY),
     "prediction_summary": lambda s, d: M.prediction_summary(_with_prediction(s, d)),
@@ -245,6 +248,7 @@ def _metrics_sql(by: str = "") -> str:
 
 
 ORACLE = {
+    "model_io": _TV + "select count(*) as n, cast(0 as bigint) as n_different from train_view",
     "holdout_split": _TV + f"select row_key, {_SPLIT} as split from train_view",
     "kfold_assign": _TV + f"""select row_key,
         cast({H_DUCK.format(x="'cv-' || row_key")} % 5 as integer) as fold from train_view""",

@@ -8,6 +8,8 @@ session time zone (timestamps compare equal to the SQL oracle), no web UI.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,26 +45,34 @@ def get_session(master: str | None = None, app: str = "tablekit",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+_LOCAL_DIRS: dict[str, str] = {}
 
-    The cluster names it in ``spark.checkpoint.dir``; that setting wins. A
-    fallback (tests, local runs) is applied only when the setting is unset.
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``.
+
+    Only a local master without that setting (tests, scripts) gets a folder of its own,
+    one per application; on a cluster the setting is required.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not path:
-        if fallback is None:
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; set it to a shared folder")
-        path = fallback
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+        if sc.applicationId not in _LOCAL_DIRS:
+            _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="tablekit-", dir="/tmp")
+        path = _LOCAL_DIRS[sc.applicationId]
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
     return path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def spread_narrow(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer splits than the cluster has task
     slots (e.g. a file written as a single row group) so the first stage runs

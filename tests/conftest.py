@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,7 +11,7 @@ def spark():
     from tablekit.session import checkpoint_dir, get_session
     s = get_session("local[4]", app="tablekit-tests", shuffle_partitions=4,
                     conf={"spark.driver.memory": "4g"})
-    checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="tablekit-test-ckpt-", dir="/tmp"))
+    checkpoint_dir(s)
     yield s
     s.stop()
 

@@ -4,13 +4,14 @@ pushed-down projections, broadcast where a side is bounded."""
 import pytest
 
 import __spark_entry__ as E
+from tablekit.plans.catalog import all_oracle_sql
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(all_oracle_sql()))
 def test_no_python_udf(spark, sf_small, key):
     p = _plan(E.queries()[key](spark, sf_small))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
