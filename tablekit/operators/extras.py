@@ -139,8 +139,8 @@ def grid_cell(df: DataFrame, lat: str, lon: str, delta: float, out: str = "cell"
                                           F.floor(F.col(lon) / delta).cast("string")))
 
 
-def interactions(df: DataFrame, cols: list[str], limit: int = 10) -> DataFrame:
-    """Products and ratios of column pairs (i < j), at most ``limit`` pairs."""
+def interactions(df: DataFrame, cols: list[str], limit: int | None = None) -> DataFrame:
+    """Products and ratios of all column pairs (i < j), or of the first ``limit`` ones."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]][:limit]
     extra = []
     for a, b in pairs:
