@@ -223,24 +223,35 @@ def plan_adherence(events: DataFrame) -> DataFrame:
 
 
 def agent_benchmark(events: DataFrame) -> DataFrame:
-    """One report row per run (E8-E11 joined on run_id)."""
-    part = (agent_participation(events).groupBy("run_id")
-            .agg(F.sum("n_events").cast("bigint").alias("total_events"),
-                 F.count(F.lit(1)).cast("bigint").alias("n_agents")))
-    conv = critique_convergence(events)
-    traj = metric_trajectory(events)
-    exp = (events.where(F.col("event_type") == "model_result").groupBy("run_id")
-           .agg(F.count(F.lit(1)).cast("bigint").alias("experiments_run")))
-    plan = plan_adherence(events)
-    return (part.join(conv, "run_id", "left").join(exp, "run_id", "left")
-                .join(traj.select("run_id", "best_cv_mse", "mse_improvement"), "run_id", "left")
-                .join(plan, "run_id", "left")
-                .select("run_id", "total_events", "n_agents",
-                        F.coalesce("total_critiques", F.lit(0).cast("bigint")).alias("total_critiques"),
-                        F.coalesce("approvals", F.lit(0).cast("bigint")).alias("first_pass_approvals"),
-                        "convergence_rate",
-                        F.coalesce("experiments_run", F.lit(0).cast("bigint")).alias("experiments_run"),
-                        "best_cv_mse", "mse_improvement", "planned_steps", "unique_agents_used"))
+    """One report row per run (E8-E11) from one scan: counts per (run, agent) first,
+    so that partial aggregation carries a busy run, then per run."""
+    def of(event_type, field):
+        parsed = F.from_json(json_object_text(F.col("payload")), PAYLOAD_SCHEMAS[event_type])
+        return F.when(F.col("event_type") == event_type, parsed[field])
+    x = events.select("run_id", "agent", "event_type", F.struct("timestamp", "event_id").alias("o"),
+                      of("critique", "approved").alias("approved"), of("model_result", "cv_mse_mean").alias("mse"),
+                      F.when(F.col("event_type") == "plan", F.size(F.coalesce(of("plan", "plan"), F.array()))).alias("steps"))
+    timed = lambda c: F.when(F.col(c).isNotNull(), F.struct("o", F.col(c).alias("v")))
+    big = lambda c: c.cast("bigint")
+    by_agent = x.groupBy("run_id", "agent").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "critique").alias("critiques"),
+        F.count_if(F.col("approved") == F.lit(True)).alias("approvals"),
+        F.count_if(F.col("event_type") == "model_result").alias("results"), F.count("mse").alias("measured"),
+        F.min("mse").alias("best"), F.min(timed("mse")).alias("first"), F.max(timed("mse")).alias("last"),
+        F.min(timed("steps")).alias("plan"))
+    runs = by_agent.groupBy("run_id").agg(
+        big(F.sum("n")).alias("total_events"), big(F.count(F.lit(1))).alias("n_agents"),
+        big(F.sum("critiques")).alias("critiques"), big(F.sum("approvals")).alias("approvals"),
+        big(F.sum("results")).alias("results"), F.sum("measured").alias("measured"),
+        F.min("best").alias("best_cv_mse"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.min("plan").alias("plan"), big(F.count_if(F.col("agent") != "system")).alias("unique_agents_used"))
+    return runs.select(
+        "run_id", "total_events", "n_agents", F.col("critiques").alias("total_critiques"),
+        F.col("approvals").alias("first_pass_approvals"),
+        F.when(F.col("critiques") > 0, F.round(F.col("approvals") / F.col("critiques"), 2)).alias("convergence_rate"),
+        F.col("results").alias("experiments_run"), "best_cv_mse",
+        F.when(F.col("measured") >= 2, F.round(F.col("first.v") - F.col("last.v"), 2)).alias("mse_improvement"),
+        F.coalesce(F.col("plan.v"), F.lit(0)).cast("bigint").alias("planned_steps"), "unique_agents_used")
 
 
 def parse_critiques(events: DataFrame) -> DataFrame:
