@@ -89,12 +89,13 @@ def test_signatures_never_reject_a_link():
                 assert abs(jaccard.size_band(len(x)) - jaccard.size_band(len(y))) <= 9
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("at_once", [400_000, 300])
+def test_components_of_chains_stars_and_loops(spark, at_once):
     rng = random.Random(8)
     n = list(range(0, 9000, 3))
     rng.shuffle(n)
     links = list(zip(n[:1500], n[1:1501])) + [(n[1600], x) for x in n[1601:2600]] + [(n[2700], n[2701]), (n[2701], n[2700]), (n[2700], n[2700])]
-    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long").repartition(7), at_once=at_once).collect()}
     want = classes(set(got), links)
     groups = {}
     for x, c in got.items():
