@@ -5,10 +5,12 @@ line. Every line has a text-to-tag ratio, the characters of its text over the nu
 tags; text that the markup itself names as something else (``nav``, ``aside``, an element of
 class ``ad``, a form, ...) counts as none. The ratios are smoothed along the page with a
 Gaussian, and a threshold between two clusters of the smoothed values tells content lines
-from the rest. The content region is the element that the content lines share: from the
-body, the walk goes down while one child holds nearly all of their text. The result is the
-region's text: all its lines but those that the markup names as something else and menus
-(three or more link-only lines in a row).
+from the rest. Where ``article`` or ``main`` elements hold half of the content lines' text or
+more, the region runs from the first line of the first of them to the last line of the last
+one. Else it is the innermost element that all content lines share, with the lines that stand
+directly in an element around it. The result is the region's text: all its lines but those
+that the markup names as something else and, outside of ``article`` and ``main`` and of the
+span from the first to the last content line, menus (three or more link-only lines in a row).
 
 Defined cases: null and empty html give the empty text; a page without content lines gives
 the empty text; markup that is cut off ends with the page; other columns pass through.
@@ -24,8 +26,7 @@ from pyspark.sql import DataFrame
 ROWS_AT_ONCE = 256
 #: Width of the smoothing in lines.
 SIGMA = 1.0
-#: Share of the content's characters a child must hold for the region to move into it.
-CHILD_SHARE = 0.9
+#: Share of the content's characters that the article and main elements must hold to be the region.
 ARTICLE_SHARE = 0.5
 MENU_LINES = 3
 
@@ -39,6 +40,7 @@ BLOCK = {
 }
 CONTAINER = {"html", "body", "main", "article", "section", "div", "table", "tbody", "tr", "td", "center", "blockquote"}
 NOT_TEXT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "head", "title"}
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title"}
 NOT_ARTICLE = {"nav", "menu", "footer", "aside", "form", "dialog", "button", "select", "textarea", "input", "fieldset", "datalist"}
 NOT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Words of class and id values that name something else than the article.
@@ -87,7 +89,14 @@ class Lines(HTMLParser):
             return False
         return (attrs.get("role") or "").lower() in NOT_ROLES or bool(_names(attrs) & NOT_NAMES)
 
+    def _close_head(self) -> None:
+        """The body, another flow element or text ends a head whose end tag is left out."""
+        self._end_line()
+        self._pop(max(i for i, x in enumerate(self.open) if x[0] == "head"))
+
     def handle_starttag(self, tag, attrs):
+        if self.open and (self.open[-1][0] == "head" and tag not in HEAD or tag == "body" and any(x[0] == "head" for x in self.open)):
+            self._close_head()
         if tag == "br":
             self.text.append(" ")
         if tag in BLOCK:
@@ -138,6 +147,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._close_head()
         if not self.mute:
             self.text.append(data)
             if self.links:
@@ -174,6 +185,25 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
+def _shared(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The containers that all of the paths begin with."""
+    low, high = min(paths), max(paths)
+    n = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    return low[:n]
+
+
+def _region(lines: list, kind: list[str], content: list[int]) -> tuple:
+    """First and last line of the outermost article and main elements with content lines;
+    nothing where they do not hold ``ARTICLE_SHARE`` of its text."""
+    outer = [next((c for c in x[3] if kind[c] in ("article", "main")), None) for x in lines]
+    mass = {i: len(lines[i][0]) - lines[i][2] for i in content}
+    held = {outer[i] for i in content} - {None}
+    if not held or sum(m for i, m in mass.items() if outer[i] in held) < ARTICLE_SHARE * sum(mass.values()):
+        return None, None
+    at = [i for i, c in enumerate(outer) if c in held]
+    return at[0], at[-1]
+
+
 def main_text(html: str | None) -> str:
     """The text of the content region of one page, a line per block."""
     parser = Lines()
@@ -188,29 +218,21 @@ def main_text(html: str | None) -> str:
     content = [i for i, x in enumerate(lines) if ratio[i] and (smooth[i] > cut or smooth[i] == max(smooth))]
     if not content:
         content = [max(range(len(lines)), key=ratio.__getitem__)]
-    # down from the page while one child holds nearly all of the content lines' text
-    region: tuple[int, ...] = ()
-    while True:
-        mass, whole = {}, 0
-        for i in content:
-            text, _, linked, path, _ = lines[i]
-            if path[: len(region)] == region:
-                whole += len(text) - linked
-                if len(path) > len(region):
-                    child = path[len(region)]
-                    mass[child] = mass.get(child, 0) + len(text) - linked
-        child = max(mass, key=mass.get, default=None)
-        if child is None or mass[child] < (ARTICLE_SHARE if kind[child] in ("article", "main") else CHILD_SHARE) * whole:
-            break
-        region = (*region, child)
-    kept = [x for x in lines if x[3][: len(region)] == region and not x[4] and x[0]]
+    first, last = _region(lines, kind, content)
+    if first is None:
+        shared = _shared([lines[i][3] for i in content])
+        inside = [shared[: len(x[3])] == x[3] or x[3][: len(shared)] == shared for x in lines]
+        first, last = content[0], content[-1]
+    else:
+        inside = [first <= i <= last for i in range(len(lines))]
+    kept = [i for i, x in enumerate(lines) if inside[i] and not x[4] and x[0]]
     out, i = [], 0
     while i < len(kept):
         j = i
-        while j < len(kept) and kept[j][2] * 10 >= len("".join(kept[j][0].split())) * 9:
+        while j < len(kept) and not first <= kept[j] <= last and lines[kept[j]][2] * 10 >= len("".join(lines[kept[j]][0].split())) * 9:
             j += 1
         if j - i < MENU_LINES:
-            out += [x[0] for x in kept[i : max(j, i + 1)]]
+            out += [lines[k][0] for k in kept[i : max(j, i + 1)]]
         i = max(j, i + 1)
     return "\n".join(out)
 

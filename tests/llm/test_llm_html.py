@@ -25,6 +25,28 @@ def test_odd_pages():
     assert len(main_text("<p>" + "word " * 200_000 + "</p>")) == 5 * 200_000 - 1
 
 
+LONG = "A long paragraph of plain words that goes on and on about one thing. " * 20
+
+
+def test_the_whole_article_stays():
+    long, links = LONG.strip(), "".join(f"<li><a href=x>Source {i}</a>" for i in range(4))
+    sources = "\nSource 0\nSource 1\nSource 2\nSource 3"
+    nav = "<nav><a>Home</a></nav><div><a>One</a></div><div><a>Two</a></div><div><a>Three</a></div>"
+    page = lambda body: main_text(f"<html><head><title>t</title></head><body>{nav}{body}<footer>foot</footer>")
+    assert page(f"<article><h1>Title</h1><section><p>{LONG}</section><section><p>short end</section></article>") == f"Title\n{long}\nshort end"
+    assert page(f"<article><h1>Title</h1><p>{LONG}<ul>{links}</ul></article>") == f"Title\n{long}{sources}"
+    assert page(f"<div><article><p>{LONG}{LONG}</article></div><h2>Between</h2><div><article><p>{LONG}</article></div>") == f"{long} {long}\nBetween\n{long}"
+    assert page(f"<main><h1>Title</h1><article><p>{LONG}</article><p>End.</main>") == f"Title\n{long}\nEnd."
+    for tag in ("div", "blockquote", "table><tr><td"):
+        assert page(f"<div><h1>Title</h1><p>A lead.</p><{tag}>{LONG}<p>{LONG}</{tag.split('>')[0]}><p>The end.</div>") == f"Title\nA lead.\n{long}\n{long}\nThe end."
+    assert page(f"<div><p>{LONG}<ul>{links}</ul><p>{LONG}</div>") == f"{long}{sources}\n{long}"
+
+
+def test_head_without_its_end_tag():
+    for body in ("<body><p>", "<p>", "<article><p>", ""):
+        assert main_text(f"<html><head><meta charset=x><title>t</title><style>p{{}}</style>{body}Some text of the page") == "Some text of the page"
+
+
 def test_clusters():
     assert threshold([0, 0, 1, 10, 11]) > 1 and threshold([3, 3]) == 3
     assert max(smoothed([0, 0, 9, 0, 0])) < 9
