@@ -13,6 +13,17 @@ that matrix. N-grams that no landmark has are not part of the feature space.
 ``max_chars`` characters for each language, chosen by hash; ``predict`` reads every whole
 text, long ones in segments.
 
+The values of all languages for a text sum to 2 - K for K languages, so the winner's score
+cannot tell that a text is in none of them. Two other figures can. One is the share of known
+n-grams: of the longest n-grams with a letter in the middle, those that the landmarks have
+and that hold no letter that no landmark has; tokens with digits (keys, addresses) aside.
+The other is the margin, the winner's value over the second one's. ``fit`` learns again
+without each language in turn and takes as least share and least margin what 99 % of that
+language's texts stay below; the least share allows at least three times the unknown n-grams
+that 99 % of the learned texts stay within. A text is in none of the languages when it is
+below both, the share by more than two standard errors (few or repeated words say little),
+or when it is below half of the least share.
+
 Defined cases: a null text and one without a letter are ``und`` with score 0; a table
 without labelled texts gives a model that calls everything ``und``; ties go to the first
 language in alphabetical order; repeated rows are predicted alike; columns pass through
@@ -21,8 +32,10 @@ language in alphabetical order; repeated rows are predicted alike; columns pass
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +45,35 @@ ROWS_AT_ONCE = 128
 SEGMENT = 1 << 20
 TABLE_CODES = 1 << 24
 LETTER = re.compile(r"[^\W\d_]")
+DIGIT_TOKEN = re.compile(r"[^\s\d]*+\d\S*")
 UNKNOWN = "und"
+#: Fewer texts than these say nothing about unlearned languages; no text is rejected then.
+LEAST_TEXTS = 20
+#: Languages left out in turn.
+LEFT_OUT = 16
 
 
 @dataclass
 class Model:
     """letters: code point of each symbol from 1 on (0 is the blank); known: sorted codes of
-    the landmarks' n-grams, whose columns count from 1; weights: n-grams by languages."""
+    the landmarks' n-grams, whose columns count from 1; weights: n-grams by languages;
+    least_share, least_margin: what most texts of unlearned languages stay below."""
 
     langs: list[str]
     letters: object
     known: object
     weights: object
     bias: object = 0.0
+    least_share: float = 0.0
+    least_margin: float = math.inf
+
+    def in_none(self, text: str, margin: float, table) -> bool:
+        share, least = known_share(text, self, table), self.least_share
+        if share >= least or share < least / 2:
+            return share < least
+        distinct = len(set(zip(*[text[i : SEGMENT + i].lower() for i in range(MAX_N)])))
+        error = math.sqrt(least * (1 - least) * MAX_N / max(distinct, 1))  # a letter is in MAX_N of them
+        return share + 2 * error < least and margin < self.least_margin
 
     def columns(self, codes):
         """Column of each n-gram, 0 if unknown; small alphabets get a table of all codes."""
@@ -103,6 +132,81 @@ def presence(texts, model: Model, table):
     return out
 
 
+@lru_cache(1)
+def _alphabetic():
+    """Whether each code point is a letter."""
+    import numpy as np
+
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def _windows(text: str, model: Model, table):
+    """Columns of the longest n-grams with a letter in the middle; 0 if unknown."""
+    import numpy as np
+
+    points = np.frombuffer(f" {DIGIT_TOKEN.sub(' ', text.lower())} ".encode("utf-32-le", "replace"), np.uint32)
+    symbols, letter = table[np.minimum(points, len(table) - 1)], _alphabetic()[points]
+    *_, codes = _codes(symbols, len(model.letters) + 1)
+    foreign = letter & (symbols == 0)
+    n = len(codes)
+    known = ~np.logical_or.reduce([foreign[i : i + n] for i in range(MAX_N)])
+    return np.where(known, model.columns(codes), 0)[letter[MAX_N // 2 :][:n]]
+
+
+def known_share(text: str, model: Model, table) -> float:
+    """Share of known n-grams, 0 without a letter."""
+    known = total = 0
+    for at in range(0, len(text), SEGMENT):
+        columns = _windows(text[at : at + SEGMENT + MAX_N - 1], model, table)
+        known, total = known + int((columns > 0).sum()), total + len(columns)
+    return known / total if total else 0.0
+
+
+def _solve(gram, cross, truth, n_langs: int, ridge: float):
+    """Ridge regression in the landmarks' space: weights by landmark and language, biases.
+    gram: kernel of the landmarks, cross: of the texts with them."""
+    import numpy as np
+
+    values, vectors = np.linalg.eigh(gram)
+    good = values > 1e-8 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) up to a rotation
+    features = cross @ root
+    target = np.where(truth[:, None] == np.arange(n_langs), 1.0, -1.0)
+    ones = np.concatenate([features, np.ones((len(features), 1))], axis=1)
+    weight = np.ones(len(truth)) / np.bincount(truth, minlength=n_langs)[truth]  # languages count alike
+    left = (ones * weight[:, None]).T @ ones + ridge * np.diag([1.0] * features.shape[1] + [0.0])
+    solved = np.linalg.solve(left + 1e-12 * np.eye(len(left)), (ones * weight[:, None]).T @ target)
+    return root @ solved[:-1], solved[-1]
+
+
+def _limits(texts, truth, marks, mark_truth, holders, gram, cross, apart, model: Model, ridge: float):
+    """Least share and margin. holders: landmarks by n-gram and language; apart: what the
+    kernels of a text grow by when the n-grams of its own language only are unknown."""
+    import numpy as np
+
+    n_langs, table, marked = len(model.langs), model.table(), set(marks)
+    if len(set(texts)) < LEAST_TEXTS:
+        return 0.0, math.inf
+    every = holders.sum(axis=1)
+    own, without = [], []
+    for t, lang in {t: lang for t, lang in zip(texts, truth)}.items():
+        at = _windows(t, model, table)
+        if len(at):
+            own.append((every[at] > (t in marked)).mean())
+            without.append((every[at] > holders[at, lang]).mean())
+    low = float(np.quantile(own, 0.01))
+    if n_langs == 1:
+        return low / 2, math.inf
+    share, margins = min(1 - 3 * (1 - low), float(np.quantile(without, 0.99))), []
+    for lang in range(n_langs if n_langs > 2 else 0)[:LEFT_OUT]:
+        rest, seen = mark_truth != lang, truth != lang
+        others = truth[seen] - (truth[seen] > lang)
+        weights, bias = _solve(gram[np.ix_(rest, rest)], cross[np.ix_(seen, rest)], others, n_langs - 1, ridge)
+        value = np.sort((cross[np.ix_(~seen, rest)] * apart[~seen, None]) @ weights + bias, axis=1)
+        margins.extend(value[:, -1] - value[:, -2])
+    return share, float(np.quantile(margins, 0.99)) if margins else math.inf
+
+
 def scores(texts, model: Model, table):
     import numpy as np
 
@@ -135,30 +239,34 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     model.known = np.unique(np.concatenate([codes for t in marks for codes in _codes(_symbols(t, table), size)]))
     model.weights = np.zeros((len(model.known) + 1, len(langs)))
     unit = lambda p: p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1.0))
-    m = unit(presence(marks, model, table).astype(np.float64))
-    values, vectors = np.linalg.eigh(m @ m.T)
-    good = values > 1e-8 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) up to a rotation
-    project = m.T @ root
-    features = np.concatenate([unit(presence(texts[i : i + 256], model, table)) @ project for i in range(0, len(texts), 256)])
-    target = np.where(truth[:, None] == np.arange(len(langs)), 1.0, -1.0)
-    ones = np.concatenate([features, np.ones((len(features), 1))], axis=1)
-    weight = np.ones(len(texts)) / np.bincount(truth, minlength=len(langs))[truth]  # languages count alike
-    left = (ones * weight[:, None]).T @ ones + ridge * np.diag([1.0] * features.shape[1] + [0.0])
-    solved = np.linalg.solve(left + 1e-12 * np.eye(len(left)), (ones * weight[:, None]).T @ target)
-    model.weights = project @ solved[:-1]
-    model.bias = solved[-1]
+    m = presence(marks, model, table).astype(np.float64)
+    mark_truth = np.array([i for i, lang in enumerate(langs) for _ in by_lang[lang][:landmarks_per_lang]])
+    first = np.unique(np.array(marks, object), return_index=True)[1]  # copies hold nothing of their own
+    holders = m[first].T @ (mark_truth[first, None] == np.arange(len(langs)))
+    foreign = (holders.sum(axis=1, keepdims=True) > holders).astype(np.float64)  # n-grams known without a language
+    m, cross, apart = unit(m), [], []
+    for i in range(0, len(texts), 256):
+        p = presence(texts[i : i + 256], model, table).astype(np.float64)
+        cross.append(unit(p) @ m.T)
+        rest = (p @ foreign)[np.arange(len(p)), truth[i : i + 256]]
+        apart.append(np.sqrt(np.maximum(p.sum(axis=1), 1.0) / np.maximum(rest, 1.0)))
+    gram, cross, apart = m @ m.T, np.concatenate(cross), np.concatenate(apart)
+    weights, model.bias = _solve(gram, cross, truth, len(langs), ridge)
+    model.weights = m.T @ weights
+    model.least_share, model.least_margin = _limits(texts, truth, marks, mark_truth, holders, gram, cross, apart, model, ridge)
     return model
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", known_out: str | None = None) -> DataFrame:
     """Add the predicted language and a score from 0 to 1 (the winner's regression value,
-    -1 to 1, moved there)."""
+    -1 to 1, moved there); with ``known_out`` also whether the
+    text is in one of the languages."""
     import pyarrow as pa
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    names = [c for c in df.columns if c not in (lang_out, score_out)]
-    schema = StructType([*(df.schema[c] for c in names), StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
+    added = [lang_out, score_out, *([known_out] if known_out else [])]
+    names = [c for c in df.columns if c not in added]
+    schema = StructType([*(df.schema[c] for c in names), StructField(lang_out, StringType()), StructField(score_out, DoubleType()), *(StructField(c, BooleanType()) for c in added[2:])])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -170,7 +278,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 b = whole.slice(at, ROWS_AT_ONCE)
                 texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                lang, score, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
                 if m.langs:
                     value = scores(texts, m, table) + m.bias
                     best = np.argmax(value, axis=1)
@@ -178,7 +286,11 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", lang_out: str =
                         if LETTER.search(t):
                             lang[i] = m.langs[best[i]]
                             score[i] = float(min(1.0, max(0.0, (value[i, best[i]] + 1) / 2)))
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, lang_out, score_out])
+                            if known_out:
+                                margin = value[i, best[i]] - max((v for k, v in enumerate(value[i]) if k != best[i]), default=-math.inf)
+                                known[i] = not m.in_none(t, margin, table)
+                found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), *([pa.array(known, pa.bool_())] if known_out else [])]
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *found], [*names, *added])
 
     return df.mapInArrow(run, schema)
 
