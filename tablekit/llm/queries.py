@@ -104,6 +104,30 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import centroids
+
+    found = centroids.cluster(documents(spark, sf_dir, "embeddings"))
+    return centroids.with_totals(found).withColumnRenamed("id", "vec_id")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import resample
+
+    return resample.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablekit.llm import urls
+
+    judged = urls.judge(documents(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The query's rules: verdict, host and path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
 def piece_digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -119,9 +143,88 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_lines": op9_lines,
     "op10_langid": op10_langid,
+    "op11_centroids": op11_centroids,
+    "op12_resample": op12_resample,
+    "op13_urls": op13_urls,
 }
 
+def _url_sql(levels: int = 3) -> str:
+    """The tree's levels written out: t(d) generalises segment d, m(d) merges branches."""
+    far = "sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(bn) + 1 / sqrt(an - bn))"
+    sql = r"""with u as materialized (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+      r as materialized (select *, case when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+          when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+          when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+          when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule,
+          string_split(regexp_replace(path, '[^/.]*[0-9][^/.]*', '*', 'g'), '/') as l from u),
+      k as materialized (select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' else 'open' end as label,
+          list_aggregate(l[1:4], 'string_agg', '/') || case when len(l) > 4 then '/**' else '' end as m from r),
+      t0 as (select host, m, label, count(*) as n, '' as p from k where host <> '' group by all)"""
+    for d in range(1, levels + 1):
+        sql += f""",
+      g{d} as materialized (select *, string_split(m, '/')[{d + 1}] as seg from t{d - 1}),
+      h{d} as (select host, p, seg, sum(n) as c, sum(sum(n)) over (partition by host, p) as total from g{d} group by host, p, seg),
+      t{d} as materialized (select host, m, label, n, case when seg is null then p when c >= 3 and c >= 0.05::double * total then p || '/' || seg else p || '/*' end as p
+          from g{d} left join h{d} using (host, p, seg))"""
+    sql += f""",
+      q{levels} as materialized (select host, m, label, n, case when m like '%/**' then p || '/**' else p end as q from t{levels})"""
+    for d in range(levels - 1, 0, -1):
+        sql += f""",
+      a{d} as (select host, q, label, sum(n) as n, string_split(q, '/') as l from q{d + 1} group by host, q, label, string_split(q, '/')),
+      b{d} as (select *, coalesce(list_aggregate(l[1:{d}], 'string_agg', '/'), '') as up, l[{d + 1}] as branch, coalesce(list_aggregate(l[{d + 2}:], 'string_agg', '/'), '') as rest, len(l) as more from a{d}),
+      c{d} as (select *, cast(sum(case when branch is not null then n else 0 end) over (partition by host, up) as double) as an, cast(sum(n) over (partition by host, up, branch) as double) as bn,
+          cast(sum(case when branch is not null then n else 0 end) over (partition by host, up, rest, more, label) as double) as sn, cast(sum(n) over (partition by host, up, branch, rest, more, label) as double) as own from b{d}),
+      d{d} as (select *, sum(n / own * greatest(0.0, own / bn - (sn - own) / nullif(an - bn, 0))) over (partition by host, up, branch) as far from c{d}),
+      e{d} as (select distinct host, q, case when branch is not null and an > bn and far <= {far}
+          then list_aggregate(list_concat(l[1:{d}], ['{{}}'], l[{d + 2}:]), 'string_agg', '/') else q end as to_q from d{d}),
+      q{d} as materialized (select host, m, label, n, to_q as q from q{d + 1} join e{d} using (host, q))"""
+    return sql + """,
+      s as (select host, q, sum(n) as n, coalesce(sum(n) filter (label = 'block'), 0) as nb, coalesce(sum(n) filter (label <> 'open'), 0) as nl from q1 group by all),
+      x as (select distinct host, m from q1 join s using (host, q) where (nb + 1) / (nl + 2) >= 0.8::double and 2 * nl >= s.n)
+      select page_id, host, path, rule, case when label <> 'open' then label when x.m is not null then 'block' else 'allow' end as verdict from k left join x using (host, m)"""
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    """The rounds written out: a(r) assigns, c(r + 1) are the floors of the means."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    sql = """with v as materialized (select vec_id, list_transform(embedding, lambda e: cast(floor(64 * cast(e as double)) as bigint)) as x from embeddings
+        where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+      c0 as materialized (select row_number() over (order by h) - 1 as c, x from (select sha256('1:' || vec_id) as h, x from v where vec_id is not null order by h limit 16))"""
+    for r in range(rounds + 1):
+        sql += f""",
+      a{r} as materialized (select v.vec_id, v.x, min((cast({far} as bigint), c.c)) as d from v, c{r} c group by all)"""
+        if r < rounds:
+            sql += f""",
+      s{r} as (select d[2] as c, i, sum(x[i]) as s, count(*) as n from a{r}, unnest(range(1, 65)) as u(i) group by all),
+      c{r + 1} as materialized (select c{r}.c, coalesce(m.x, c{r}.x) as x from c{r} left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as x from s{r} group by c) m on c{r}.c = m.c)"""
+    return sql + f"""
+      select vec_id, cast(d[2] as int) as cluster, d[1] as distance, cast(sum(d[1]) over (partition by d[2]) as bigint) as cluster_inertia,
+             cast(sum(d[1]) over () as bigint) as inertia, sha256(list_aggregate(c.x, 'string_agg', ',')) as centroid_sha256
+      from a{rounds} a join c{rounds} c on c.c = a.d[2]"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_urls": _url_sql(),
+    "op11_centroids": _centroid_sql(),
+    "op12_resample": r"""
+        with one as (select list(list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), cast(b as bigint)) order by b) as t from range(256) as r(b)),
+        d as (select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        f as materialized (select k, w, count(*) as n from (select k, unnest(w) as w from d) group by all),
+        g as materialized (select w, count(*) as n from (select unnest(w) as w from b) group by w),
+        words as (select distinct w, hex(encode(w)) as h from (select w from f union select w from g)),
+        hashed as materialized (select w, xor(list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: cast(cast('0x' || h[2 * i - 1 : 2 * i] as int) as bigint)),
+                    lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295), 4294967295) % 10000 as bucket from words, one),
+        s as (select bucket, sum(n) as s from f join hashed using (w) group by bucket),
+        t as (select bucket, sum(n) as t from g join hashed using (w) group by bucket),
+        gain as materialized (select bucket, floor(1000 * ln(cast(coalesce(t, 0) + 1 as double) * ((select coalesce(sum(s), 0) from s) + 10000) / (cast(s + 1 as double) * ((select coalesce(sum(t), 0) from t) + 10000)))) as g from s left join t using (bucket)),
+        x as (select k, sum(n * g) as weight from f join hashed using (w) join gain using (bucket) group by k),
+        y as (select doc_id, cast(len(w) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+                     cast(('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8)) as bigint) as h from d left join x using (k)),
+        z as (select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) as bigint) as score from y),
+        r as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id is null, doc_id, weight, n_features) as r from z)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and r <= (select 10 * count(*) // 100 from z where n_features >= 20) then r end as rank from r""",
     "op9_lines": r"""
         with d as (select doc_id, text, string_split(text, chr(10)) as l from documents),
         t as (select doc_id, i, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') as w from d, unnest(range(1, len(l) + 1)) as u(i)),
