@@ -275,41 +275,33 @@ def top_k(scored: DataFrame, k: int = TOP_K, group: list[str] = ("query_id",)) -
                   .withColumn("score", F.round("score", 4)))
 
 
-@dataclass
 class Retriever:
-    """Both indexes over one chunk table (``chunk_id, text, source, tags``)."""
-    chunks: DataFrame
-    bm25: BM25Index | None
-    tfidf: TfidfIndex
+    """Retrieval over one chunk table (``chunk_id, text, source, tags``): a segmented index
+    for the best k; score tables of all pairs only where they are asked for."""
+
+    def __init__(self, chunks: DataFrame, index, use_bm25: bool = True):
+        self.chunks, self.index, self.use_bm25 = chunks, index, use_bm25
 
     @classmethod
-    def build(cls, chunks: DataFrame, use_bm25: bool = True) -> "Retriever":
-        return cls(chunks, bm25_index(chunks) if use_bm25 else None, tfidf_index(chunks))
-
-    def _small(self, queries: DataFrame) -> bool:
-        # checked once per query table; every query-keyed side is bounded by it
-        cache = self.__dict__.setdefault("_budget", {})
-        # the frame itself is held, so its identity cannot be taken by another one
-        held = cache.get("queries")
-        if held is None or held[0] is not queries:
-            cache["queries"] = held = (queries, query_batch_fits_broadcast(queries))
-        return held[1]
+    def build(cls, chunks: DataFrame, use_bm25: bool = True, path: str | None = None) -> "Retriever":
+        from tablekit.operators.segments import SegmentedIndex
+        from tablekit.session import scratch_path
+        path = path or scratch_path(chunks.sparkSession, "index")
+        return cls(chunks, SegmentedIndex.build(chunks, path, use_bm25), use_bm25)
 
     def pairs(self, queries: DataFrame) -> DataFrame:
-        small = self._small(queries)
-        b = bm25_score(self.bm25, queries, small_queries=small) if self.bm25 is not None else None
-        return pair_scores(b, tfidf_cosine(self.tfidf, queries, small_queries=small))
+        """Both scores of every (query, chunk) that share a term."""
+        small = query_batch_fits_broadcast(queries)
+        b = bm25_score(bm25_index(self.chunks), queries, small_queries=small) if self.use_bm25 else None
+        return pair_scores(b, tfidf_cosine(tfidf_index(self.chunks), queries, small_queries=small))
 
     def hybrid(self, queries: DataFrame) -> DataFrame:
-        return hybrid_score(self.pairs(queries), small_queries=self._small(queries))
+        return hybrid_score(self.pairs(queries), small_queries=query_batch_fits_broadcast(queries))
 
     def retrieve(self, queries: DataFrame, k: int = TOP_K, tag: str | None = None) -> DataFrame:
         """R8 (optionally inside one tag): query_id, rank, chunk_id, score."""
-        pairs = self.pairs(queries)
-        if tag is not None:
-            tagged = self.chunks.where(F.array_contains("tags", tag)).select("chunk_id")
-            pairs = pairs.join(tagged, "chunk_id", "left_semi")
-        return top_k(hybrid_score(pairs, small_queries=self._small(queries)), k).select(
+        from tablekit.operators.blockmax import top_k as block_top_k
+        return block_top_k(self.index, queries, k, None if tag is None else [tag]).select(
             "query_id", "rank", "chunk_id", "score")
 
     def retrieve_for_roles(self, queries: DataFrame, role_tags: DataFrame,
@@ -317,16 +309,13 @@ class Retriever:
         """Per role, for each of its tags (in order) the top-k inside the tag;
         a text seen under an earlier tag keeps its first score; then the best k by
         rounded score (ties: tag order, then rank inside the tag).
-        ``role_tags``: (role, tag, tag_ord)."""
-        pairs = self.pairs(queries)
-        ct = (self.chunks.select("chunk_id", F.explode(F.array_distinct("tags")).alias("tag"))
-                  .join(F.broadcast(role_tags.select("tag").distinct()), "tag"))
-        tagged = pairs.join(ct, "chunk_id")
-        per_tag = top_k(hybrid_score(tagged, ["query_id", "tag"], small_queries=self._small(queries)),
-                        k, ["query_id", "tag"])
+        ``role_tags``: (role, tag, tag_ord), a small table (its tags are collected)."""
+        from tablekit.operators.blockmax import top_k as block_top_k
+        tags = [r["tag"] for r in role_tags.select("tag").distinct().orderBy("tag").collect()]
+        per_tag = block_top_k(self.index, queries, k, tags)
         texts = self.chunks.select("chunk_id", F.sha2("text", 256).alias("__th"))
         cand = (per_tag.join(texts, "chunk_id")
-                       .join(F.broadcast(role_tags), "tag"))
+                       .join(bounded_broadcast(role_tags), "tag"))
         firsts = (cand.groupBy("role", "query_id", "__th")
                       .agg(F.min_by(F.struct("chunk_id", "score", "tag_ord", "rank"),
                                     F.struct("tag_ord", "rank")).alias("f"))
@@ -343,7 +332,7 @@ class Retriever:
         by_role = self.retrieve_for_roles(queries, role_tags, k)
         glob = self.retrieve(queries, k)
         roles = role_tags.select("role").distinct()
-        missing = (F.broadcast(roles).crossJoin(queries.select(F.col("query_id")))
+        missing = (bounded_broadcast(roles).crossJoin(queries.select(F.col("query_id")))
                    .join(by_role.select("role", "query_id").distinct(), ["role", "query_id"], "left_anti"))
         return by_role.unionByName(missing.join(glob, "query_id").select(*by_role.columns))
 

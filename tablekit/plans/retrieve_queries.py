@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablekit.operators import retrieve as R
+from tablekit.operators.blockmax import top_k
+from tablekit.operators.segments import SegmentedIndex
 from tablekit.plans import views as V
 from tablekit.plans.views import duck_with
-from tablekit.session import table
+from tablekit.session import scratch_path, table
 
 
 def _retriever(s, d):
@@ -35,6 +37,23 @@ def _append(s, d):
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _turns(s, d):
+    """Conversation turns as chunks whose ids follow those of the documents."""
+    c = table(s, d, "conversations")
+    chunk_id = F.lit(10**12) + F.col("conv_id").cast("bigint") * 10**4 + F.col("turn")
+    return c.select(chunk_id.alias("chunk_id"), "text", F.col("role").alias("source"), F.array("role").alias("tags"))
+
+
+def _append_index(s, d):
+    """An index of the documents, appended to in two batches whose segments are then
+    merged, answers as one built of everything."""
+    turns = _turns(s, d)
+    index = SegmentedIndex.build(V.chunks(s, d), scratch_path(s, "index"))
+    index = index.append(turns.where("source = 'user'")).append(turns.where("source is distinct from 'user'"))
+    index = index.merge(fewer_than=1 + turns.count())
+    return top_k(index, V.queries(s, d)).select("query_id", "rank", "chunk_id", "score")
+
+
 def _learn(s, d):
     ch = V.chunks(s, d)
     batch = ch.select("text", "source", "tags").unionByName(_conv_chunks(s, d))
@@ -74,6 +93,7 @@ QUERIES = {
         V.queries(s, d), V.role_tags(s)),
     "context_string": lambda s, d: (lambda r: r.context(r.retrieve(V.queries(s, d))))(_retriever(s, d)),
     "append_chunks": _append,
+    "append_index": _append_index,
     "learn_from_results": _learn,
     "corpus_size": _corpus_size,
 }
@@ -165,6 +185,12 @@ def _q(sel: str) -> str:
     return _CHAIN + sel
 
 
+def _with_turns(sql: str) -> str:
+    """The same over documents and conversation turns."""
+    return sql.replace("from documents", """from documents union all
+      select 1000000000000 + conv_id * 10000 + turn, text, role, [role] from conversations""", 1)
+
+
 _CONV = "select text, role as source, [role] as tags from conversations"
 
 ORACLE = {
@@ -195,6 +221,7 @@ ORACLE = {
       allc as (select row_number() over () as chunk_id, text
                from (select text from chunks union all select text from ({_CONV}) c) u),""" +
         _bm25_ctes("allc", "a") + "\nselect term, df, round(idf, 6) as idf from aterms",
+    "append_index": _with_turns(_q("select * from topk")),
     "learn_from_results": duck_with("chunks").rstrip() + f""",
       batch as (select text, source, tags from chunks union all {_CONV}),
       new as (select * from batch b where not exists (select 1 from chunks c where c.text = b.text))
