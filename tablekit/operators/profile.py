@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablekit.functions.quantiles import value_quantiles
+from tablekit.functions.quantiles import column_quantiles
 from tablekit.functions.stats import (clean, is_missing, numeric_columns,
                                       other_columns, r2, r4, safe_corr,
                                       sample_kurtosis, sample_skew)
@@ -23,12 +23,12 @@ from tablekit.functions.stats import (clean, is_missing, numeric_columns,
 
 def exact_quantiles(df: DataFrame, cols: list[str], ps: list[float]) -> DataFrame:
     """Exact linear-interpolated quantiles: ``(column_name, q)`` with ``q`` an array in the
-    order of ``ps``, by value counts and running sums (``functions/quantiles.py``)."""
-    u = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                clean(df, c).cast("double").alias("value"))
-                                       for c in cols])).alias("s"))
-           .select("s.*"))
-    return value_quantiles(u, ["column_name"], ps)
+    order of ``ps``, by sketches and counts (``functions/quantiles.py``); a row per column
+    that has a value. Its jobs run here."""
+    src = df.select(*[clean(df, c).cast("double").alias(c) for c in cols])
+    q = column_quantiles(src, cols, ps)
+    rows = [(c, [float(x) for x in v]) for c, v in q.items() if v is not None]
+    return df.sparkSession.createDataFrame(rows, "column_name string, q array<double>")
 
 
 def median_row(df: DataFrame, cols: list[str], prefix: str = "", *, approx: bool = False) -> DataFrame:

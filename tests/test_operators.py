@@ -217,6 +217,24 @@ def test_exact_quantiles_equal_pandas(spark):
     assert P.exact_quantiles(df.limit(0), ["a"], [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("accuracy, at_most", [(10_000, 1 << 16), (20, 12), (5, 1)])
+def test_bracketed_quantiles_of_hot_unique_and_odd_columns(spark, accuracy, at_most):
+    """80 % equal, all unique, constant, missing and infinite values; coarse sketches and
+    small brackets go through refinement, opened brackets and hot values."""
+    from tablekit.functions.quantiles import column_quantiles
+    rng = np.random.default_rng(4)
+    n = 4000
+    pdf = pd.DataFrame({"hot": np.where(rng.random(n) < 0.8, 1.5, rng.normal(0, 9, n)), "unique": rng.permutation(n) * 1.25,
+                        "const": np.full(n, -3.0), "one": [7.0] + [None] * (n - 1), "two": rng.integers(0, 2, n).astype(float),
+                        "skew": np.exp(rng.normal(0, 4, n)), "none": [None] * n})
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.itertuples(index=False)], ", ".join(f"{c} double" for c in pdf)).repartition(7)
+    ps = [0, 0.1, 0.25, 0.5, 0.75, 0.9999, 1]
+    got = column_quantiles(df, list(pdf), ps, at_most=at_most, accuracy=accuracy)
+    assert got.pop("none") is None
+    for c, q in got.items():
+        assert np.allclose(q, pdf[c].dropna().astype(float).quantile(ps), rtol=1e-12), c
+
+
 def test_hot_value_is_one_row_before_any_task_orders_it(spark):
     from tablekit.functions.quantiles import value_counts_ranged, value_quantiles
     df = spark.range(0, 200_000, numPartitions=8).select(F.when(F.col("id") % 10 < 8, 0.0).otherwise(F.col("id").cast("double")).alias("value"), (F.col("id") % 2).alias("k"))
