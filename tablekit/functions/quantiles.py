@@ -9,6 +9,9 @@ partitions' rows get running sums. No task holds a whole column or group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +56,7 @@ AT_MOST = 1 << 16
 WIDE = 64
 
 
-def column_quantiles(src: DataFrame, cols: list[str], ps: list[float], at_most: int = AT_MOST, accuracy: int = SKETCH) -> dict[str, list[float] | None]:
+def column_quantiles(src: DataFrame, cols: list[str], ps: list[float], at_most: int = AT_MOST, accuracy: int = SKETCH, also: list = (), seen: list | None = None) -> dict[str, list[float] | None]:
     """Exact linear-interpolated quantiles of numeric columns (null: missing), None for a
     column without a value. No value is shuffled but those next to a needed position.
 
@@ -63,29 +66,35 @@ def column_quantiles(src: DataFrame, cols: list[str], ps: list[float], at_most:
     rows and more than one value is sketched again from the rows inside it. Pass 3 counts the
     values inside the brackets, at most ``at_most`` rows each, and picks the positions.
     A bracket that no longer shrinks, as hot values fill it, is taken by its value counts.
+
+    ``also``: further aggregates over ``src`` for pass 1; their row goes to ``seen``.
     """
     out: dict[str, list[float] | None] = {}
     for i in range(0, len(cols), WIDE):
-        out.update(_column_quantiles(src, cols[i : i + WIDE], ps, at_most, accuracy))
+        out.update(_column_quantiles(src, cols[i : i + WIDE], ps, at_most, accuracy, also if i == 0 else (), seen))
     return out
 
 
-def _column_quantiles(src, cols, ps, at_most, accuracy):
+def _column_quantiles(src, cols, ps, at_most, accuracy, also, seen):
     import math
 
     eps = 2 / accuracy
+    whole = src
     src = src.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
 
-    def sketch(x, share):
-        at = [min(1.0, max(0.0, share - eps)), min(1.0, max(0.0, share + eps))]
+    def sketch(x, shares):
+        at = [min(1.0, max(0.0, p + side)) for p in shares for side in (-eps, eps)]
         return F.percentile_approx(x, F.array(*map(F.lit, at)), F.lit(accuracy))
 
-    first = src.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(cols))], *[sketch(F.col(f"x{i}"), p).alias(f"s{i}_{j}") for i in range(len(cols)) for j, p in enumerate(ps)]).first()
+    # one sketch for each column gives the brackets of all its positions
+    named = whole.select("*", *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]) if also else src
+    first = named.agg(*also, *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(cols))], *[sketch(F.col(f"x{i}"), ps).alias(f"s{i}") for i in range(len(cols))]).first()
     n = [first[f"n{i}"] for i in range(len(cols))]
     need = {(i, j): (math.floor(p * (n[i] - 1)), math.ceil(p * (n[i] - 1))) for i in range(len(cols)) if n[i] for j, p in enumerate(ps)}
-    bracket = {key: tuple(first["s{}_{}".format(*key)]) for key in need}
+    open_ = {(i, j): tuple(first[f"s{i}"][2 * j : 2 * j + 2]) for i, j in need}
     inside: dict = {}
-    open_ = dict(bracket)
+    if also and seen is not None:
+        seen.append(first)
     while open_:
         counts = src.agg(*[e for (i, j), (lo, hi) in open_.items() for e in (
             F.count_if(F.col(f"x{i}") < lo).alias(f"b{i}_{j}"), F.count_if(F.col(f"x{i}").between(lo, hi)).alias(f"i{i}_{j}"))]).first()
@@ -103,14 +112,14 @@ def _column_quantiles(src, cols, ps, at_most, accuracy):
         open_ = {key: (lo, hi) for key, (share, lo, hi) in again.items() if share is None}
         closer = {key: x for key, x in again.items() if x[0] is not None}
         if closer:
-            got = src.agg(*[e.alias("s{}_{}_{}".format(*key, side)) for key, (share, lo, hi) in closer.items() for side in (0, 1)
-                            for e in [sketch(F.when(F.col(f"x{key[0]}").between(lo, hi), F.col(f"x{key[0]}")), share[side])]]).first()
-            open_.update({key: (got["s{}_{}_0".format(*key)][0], got["s{}_{}_1".format(*key)][1]) for key in closer})
+            got = src.agg(*[sketch(F.when(F.col(f"x{i}").between(lo, hi), F.col(f"x{i}")), share).alias(f"s{i}_{j}") for (i, j), (share, lo, hi) in closer.items()]).first()
+            open_.update({key: (got["s{}_{}".format(*key)][0], got["s{}_{}".format(*key)][3]) for key in closer})
     values: dict = {key: [(lo, held)] for key, (lo, hi, _, held) in inside.items() if lo == hi}
     rest = [key for key in inside if key not in values]
     if rest:
         each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(F.col(f"x{i}").between(inside[i, j][0], inside[i, j][1]), F.col(f"x{i}")).alias("v")) for i, j in rest])
-        near = src.select(F.explode(F.filter(each, lambda e: e["v"].isNotNull())).alias("e")).groupBy("e.i", "e.j", "e.v").agg(F.count(F.lit(1)).alias("c"))
+        some = reduce(or_, [F.col(f"x{i}").between(inside[i, j][0], inside[i, j][1]) for i, j in rest])
+        near = src.where(some).select(F.explode(each).alias("e")).where(F.col("e.v").isNotNull()).groupBy("e.i", "e.j", "e.v").agg(F.count(F.lit(1)).alias("c"))
         hot = [key for key in rest if inside[key][3] > at_most]
         if hot:  # hot values: their distinct number decides
             near = materialize(near)

@@ -69,13 +69,14 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, *,
             r4(q[2]).alias("p75"), r4(F.max(x)).alias("max"),
             r4(sample_skew(x)).alias("skew"), r4(sample_kurtosis(x)).alias("kurtosis")))
     # aggregates sit inside the array of structs: still a single Aggregate node
-    long = src.agg(F.array(*structs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
     if approx:
-        return long
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    at = {"p25": 0, "p50": 1, "p75": 2}
-    return (long.drop(*at).join(q, "column_name", "left")
-                .select(*[r4(F.col("q")[at[n]]).alias(n) if n in at else F.col(n) for n in out_cols]))
+        return src.agg(F.array(*structs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+    # the quantiles' first pass takes the other aggregates along
+    seen: list = []
+    found = column_quantiles(src, cols, [0.25, 0.5, 0.75], also=[F.array(*structs).alias("__profile")], seen=seen)
+    kinds = "column_name string, " + ", ".join(f"{n} double" for n in out_cols[1:])
+    rows = [tuple({**s.asDict(), **dict(zip(("p25", "p50", "p75"), found[s["column_name"]] or (None,) * 3))}[n] for n in out_cols) for s in seen[0]["__profile"]]
+    return df.sparkSession.createDataFrame(rows, kinds).select("column_name", *[r4(F.col(n)).alias(n) if n in ("p25", "p50", "p75") else n for n in out_cols[1:]])
 
 
 def _unpivot_values(df: DataFrame, cols: list[str]) -> DataFrame:
