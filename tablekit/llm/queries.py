@@ -226,11 +226,11 @@ ORACLE: dict[str, str] = {
         r as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id is null, doc_id, weight, n_features) as r from z)
         select doc_id, n_features, weight, score, case when n_features >= 20 and r <= (select 10 * count(*) // 100 from z where n_features >= 20) then r end as rank from r""",
     "op9_lines": r"""
-        with d as (select doc_id, text, string_split(text, chr(10)) as l from documents),
-        t as (select doc_id, i, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') as w from d, unnest(range(1, len(l) + 1)) as u(i)),
-        k as (select doc_id, i, len(w) || ' ' || list_aggregate(list_transform(w[1:8], lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end), 'string_agg', ' ') as k
-              from t where len(w) >= 3),
-        r as (select k, min((doc_id, i)) as first from k group by k having count(distinct doc_id) >= 3),
+        with d as (select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as l from documents),
+        t as (select r, doc_id, i, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') as w from d, unnest(range(1, len(l) + 1)) as u(i)),
+        k as (select r, doc_id, i, len(w) || ' ' || list_aggregate(list_transform(w, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end), 'string_agg', ' ') as k
+              from t where len(w) >= 3 and len(list_filter(w, lambda x: not regexp_matches(x, '[0-9]'))) > 0),
+        r as (select k, min((doc_id, i)) as first from k group by k having count(distinct r) >= 3),
         x as (select doc_id, list(i) as gone from k join r using (k) where (doc_id, i) <> first group by doc_id)
         select doc_id, cast(coalesce(len(l), 0) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_dropped,
                case when gone is null then text

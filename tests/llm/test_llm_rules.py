@@ -119,10 +119,10 @@ def test_secret_query_equals_patterns(spark, sf_small):
         assert set(text.split(",")) <= set(r.spans.split(","))
 
 
-def plain_dedup(docs, min_docs, depth, min_tokens):
+def plain_dedup(docs, min_docs, min_tokens):
     def key(line):
-        w = re.findall(r"[^\x20\x09-\x0D]+", line)
-        return (len(w), *["<*>" if re.search(r"[0-9]", x) else x for x in w][:depth]) if len(w) >= min_tokens else None
+        w = ["<*>" if re.search(r"[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        return tuple(w) if len(w) >= min_tokens and set(w) != {"<*>"} else None
 
     where = {}
     for d, t in docs:
@@ -140,7 +140,10 @@ def test_templates_drop_recurring_lines(spark):
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in docs], "doc_id int, text string, n_lines string, pos int")
     out = lines.dedup(df)
     assert out.columns == ["doc_id", "text", "pos", "n_lines", "n_dropped"]
-    assert {r.doc_id: r.text for r in out.collect()} == plain_dedup(docs, 3, 8, 3)
+    assert {r.doc_id: r.text for r in out.collect()} == plain_dedup(docs, 3, 3)
+    names = spark.createDataFrame([(i, t, "KEEP", 1, 2, 3) for i, t in docs], "doc_id int, text string, row string, rid int, gone int, __drop int")
+    kept = lines.dedup(names).collect()
+    assert {r.doc_id: r.text for r in kept} == plain_dedup(docs, 3, 3) and {(r.row, r.rid, r.gone, r["__drop"]) for r in kept} == {("KEEP", 1, 2, 3)}
     all_gone = lines.dedup(df, keep_first=False)
     assert not any("Page" in (r.text or "") for r in all_gone.collect())
     assert lines.dedup(df.limit(0)).count() == 0
@@ -148,7 +151,16 @@ def test_templates_drop_recurring_lines(spark):
     assert [r.text for r in lines.dedup(same).collect()] == ["the same line here"] * 4
 
 
+def test_sentences_that_open_alike_and_rows_of_numbers_stay(spark):
+    opening = "He was born on the third day of"
+    texts = [f"{opening} {x}\n1 2 {i}" for i, x in enumerate(["May in Rome", "June in Bonn", "July in Oslo", "May in Rome"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r.text for r in lines.dedup(df).collect()} == set(texts)
+    repeated = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, "one two three"), (2, "other words here")], df.schema)
+    assert sorted(r.text for r in lines.dedup(repeated).collect()) == ["", "one two three", "one two three", "other words here"]
+
+
 def test_no_python_on_native_paths(spark, sf_small):
-    for key in ("op3_quality", "op4_secrets", "op9_lines"):
+    for key in ("op3_quality", "op4_secrets", "op9_lines", "op13_urls"):
         plan = QUERIES[key](spark, sf_small)._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan), key
