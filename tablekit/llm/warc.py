@@ -45,6 +45,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CUT_BYTES = 8 << 20
 ROWS_AT_ONCE = 256
 HEAD = 4096
+#: Bytes inflated at a time until a record's headers are whole.
+STEP = 512
 
 
 def filesystem(uri: str):
@@ -106,17 +108,18 @@ def records(f, start: int, end: int, wanted, payloads: bool):
         else:
             size = None
         z = zlib.decompressobj(31)
-        data = z.decompress(first)
+        data, more = z.decompress(first, STEP), z.unconsumed_tail
         while b"\r\n\r\n" not in data and not z.eof:
-            more = f.read(HEAD)
+            more = more or f.read(HEAD)
             if not more:
                 raise EOFError("the archive ends within a record")
-            data += z.decompress(more)
+            data += z.decompress(more, STEP)
+            more = z.unconsumed_tail
         head, _, rest = data.partition(b"\r\n\r\n")
         row = parse_head(head)
         keep = wanted(row)
         if keep and payloads and row["warc_type"] == "response" or size is None:
-            parts = [rest]
+            parts = [rest, z.decompress(more)]
             while not z.eof:
                 more = f.read(1 << 16)
                 if not more:

@@ -61,6 +61,30 @@ def test_unwanted_payloads_are_not_read():
     assert f.taken <= 6 * warc.HEAD
 
 
+def test_unwanted_payloads_are_not_inflated(monkeypatch):
+    row = lambda i: dict(warc_type="response", record_id=f"<{i}>", target_uri="u", refers_to=None, payload_digest="d", payload_length=None, payload=(b"<p>page %d</p>" % i) * 3000)
+    data = b"".join(warc.member(warc.record(row(i), "d"), 5) for i in range(3))
+    inflated = []
+    plain = warc.zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.z = plain(bits)
+
+        def decompress(self, *a):
+            inflated.append(len(out := self.z.decompress(*a)))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.z, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    assert list(warc.records(io.BytesIO(data), 0, len(data), lambda r: False, True)) == []
+    assert sum(inflated) <= 3 * 2 * warc.STEP
+    got = list(warc.records(io.BytesIO(data), 0, len(data), lambda r: r["record_id"] != "<1>", True))
+    assert [r["payload"] for r in got] == [row(0)["payload"], row(2)["payload"]]
+
+
 def test_archives_without_lengths(tmp_path, spark):
     import gzip
 
