@@ -3,7 +3,9 @@
 The standard library's parser streams its events into lines: a block-level tag starts a new
 line. Every line has a text-to-tag ratio, the characters of its text over the number of its
 tags; text that the markup itself names as something else (``nav``, ``aside``, an element of
-class ``ad``, a form, ...) counts as none. The ratios are smoothed along the page with a
+class ``ad``, a form, ...) counts as none. A class or id is the weakest of these signs: it
+does not count for an element around an ``article`` or ``main`` or, where there are none,
+around most of the page's text, but for readers' comments. End tags left out are implied as the standard has it. The ratios are smoothed along the page with a
 Gaussian, and a threshold between two clusters of the smoothed values tells content lines
 from the rest. Where ``article`` or ``main`` elements hold half of the content lines' text or
 more, the region runs from the first line of the first of them to the last line of the last
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 ROWS_AT_ONCE = 256
 #: Width of the smoothing in lines.
 SIGMA = 1.0
+#: Share of the page's text from which on an element is its frame, whatever its name.
+FRAME_SHARE = 0.75
 #: Share of the content's characters that the article and main elements must hold to be the region.
 ARTICLE_SHARE = 0.5
 MENU_LINES = 3
@@ -51,22 +55,52 @@ NOT_NAMES = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup",
     "login", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion",
 }
+#: Parts that turn a name around, or make it speak of the layout.
+TURNS = {"no", "not", "non", "without", "with", "has", "free", "layout"}
+#: Names of what readers write: such an element stays out however long it is.
+READERS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion"}
+# Fixed values of HTML: which open elements a start tag ends, and which elements hide them from it.
+ENDS_P = BLOCK - {"body", "caption", "dd", "dt", "frameset", "head", "html", "legend", "li", "noscript", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dd": ({"dd", "dt"}, {"dl"}),
+    "dt": ({"dd", "dt"}, {"dl"}),
+    "td": ({"td", "th", "caption"}, {"table", "tr"}),
+    "th": ({"td", "th", "caption"}, {"table", "tr"}),
+    "tr": ({"tr", "caption"}, {"table", "tbody", "thead", "tfoot"}),
+    "tbody": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
+    "thead": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+}
+SCOPE = {"html", "table", "td", "th", "caption", "button", "object", "template"}
 
 
-def _names(attrs: dict) -> set[str]:
-    text = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return set("".join(c.lower() if c.isalnum() else " " for c in text).split())
+def _named(attrs: dict) -> set[str]:
+    """Words by which class and id name something else than the article. Names with a part
+    that turns them around (``no-sidebar``, ``has-related``, ``ad-free``) give none."""
+    out = set()
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        parts = set("".join(c.lower() if c.isalnum() else " " for c in name).split())
+        if not parts & TURNS:
+            out |= parts & NOT_NAMES
+    return out
 
 
 class Lines(HTMLParser):
     """Collects (text, tags, link characters, path, excluded) per line; a path lists the
-    numbers of the containers around it."""
+    numbers of the containers around it. ``around`` lists for each line the numbers of the
+    named elements around it; ``frames`` tells which of these leave their lines in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.kind: list[str] = []  # tag of each container, by its number
-        self.open: list[tuple[str, int, int, int]] = []  # tag, excluded before, no text before, containers before
+        self.open: list[tuple[str, int, int, int, int]] = []  # tag; excluded, no text, containers, named elements before
+        self.named: list[int] = []  # open elements whose names exclude them
+        self.readers: list[bool] = []  # of every named element: written by readers
+        self.holding: set[int] = set()  # named elements around an article or main element
+        self.around: list[tuple[int, ...]] = []
         self.path: list[int] = []
         self.out = self.mute = self.links = 0
         self.inside = 0  # open article and main elements
@@ -77,6 +111,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text or self.tags:
             self.lines.append((text, self.tags, min(self.linked, len(text)), tuple(self.path), self.out > 0))
+            self.around.append(tuple(self.named))
         self.text.clear()
         self.tags = self.linked = 0
 
@@ -85,9 +120,7 @@ class Lines(HTMLParser):
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
             return True
-        if tag in ("html", "body", "main", "article"):
-            return False
-        return (attrs.get("role") or "").lower() in NOT_ROLES or bool(_names(attrs) & NOT_NAMES)
+        return tag not in ("html", "body", "main", "article") and (attrs.get("role") or "").lower() in NOT_ROLES
 
     def _close_head(self) -> None:
         """The body, another flow element or text ends a head whose end tag is left out."""
@@ -100,18 +133,22 @@ class Lines(HTMLParser):
         if tag == "br":
             self.text.append(" ")
         if tag in BLOCK:
-            if tag == "p" or tag == "li":
-                self._close_to(tag)
             self._end_line()
+        self._imply_ends(tag)
         self.tags += 1
         if tag in VOID:
             return
         attrs = dict(attrs)
-        self.open.append((tag, self.out, self.mute, len(self.path)))
+        self.open.append((tag, self.out, self.mute, len(self.path), len(self.named)))
         if tag in CONTAINER:
             self.path.append(len(self.kind))
             self.kind.append(tag)
-        self.inside += tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.inside += 1
+            self.holding.update(self.named)
+        elif tag not in ("html", "body") and (names := _named(attrs)):
+            self.named.append(len(self.readers))
+            self.readers.append(bool(names & READERS))
         self.out += self._excluded(tag, attrs)
         self.mute += tag in NOT_TEXT
         self.links += tag == "a"
@@ -121,21 +158,29 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _close_to(self, tag: str) -> None:
-        """A p or li ends an open one of its kind, unless a container stands between them."""
+    def _imply_ends(self, tag: str) -> None:
+        """End the elements whose end tag may be left out before this start tag."""
+        if tag in ENDS_P:
+            self._close({"p"}, SCOPE)
+        if tag in ENDS:
+            self._close(*ENDS[tag])
+
+    def _close(self, ends: set[str], scope: set[str]) -> None:
+        """End the innermost open element of ``ends``, and what stands open in it, unless one
+        of ``scope`` is met before."""
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            if self.open[i][0] in ends:
                 self._pop(i)
                 return
-            if self.open[i][0] in CONTAINER or self.open[i][0] in ("ul", "ol", "menu"):
+            if self.open[i][0] in scope:
                 return
 
     def _pop(self, i: int) -> None:
         for tag, *_ in self.open[i:]:
             self.links -= tag == "a"
             self.inside -= tag in ("article", "main")
-        _, self.out, self.mute, n = self.open[i]
-        del self.path[n:], self.open[i:]
+        _, self.out, self.mute, n, m = self.open[i]
+        del self.path[n:], self.named[m:], self.open[i:]
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
@@ -157,6 +202,22 @@ class Lines(HTMLParser):
     def close(self):
         super().close()
         self._end_line()
+        frames = self.frames()
+        self.lines = [(*x[:4], x[4] or not frames.issuperset(a)) for x, a in zip(self.lines, self.around)]
+
+    def frames(self) -> set[int]:
+        """Named elements that are the page's frame: those around an article or main element,
+        or, on pages without these, those that hold ``FRAME_SHARE`` of the text that no reader
+        wrote."""
+        mass = dict.fromkeys(range(len(self.readers)), 0)
+        total = 0
+        for (text, _, linked, _, out), around in zip(self.lines, self.around):
+            if not out and not any(self.readers[i] for i in around):
+                total += len(text) - linked
+                for i in around:
+                    mass[i] += len(text) - linked
+        marked = any(tag in ("article", "main") for tag in self.kind)
+        return {i for i, m in mass.items() if not self.readers[i] and (i in self.holding or not marked and m > FRAME_SHARE * total)}
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:

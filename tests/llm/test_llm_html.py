@@ -47,6 +47,24 @@ def test_head_without_its_end_tag():
         assert main_text(f"<html><head><meta charset=x><title>t</title><style>p{{}}</style>{body}Some text of the page") == "Some text of the page"
 
 
+def test_names_of_the_frame_do_not_lose_the_article():
+    long, nav = LONG.strip(), "<nav><a>Home</a></nav><div class=sidebar>Things to read, long enough to count</div>"
+    page = lambda body: main_text(f"<html><body>{nav}{body}<footer>foot</footer>")
+    for name in ("post no-sidebar", "site has-related alert-free", "widget", "page-with-sidebar"):
+        assert page(f'<div class="{name}"><h1>Title</h1><p>{LONG}<p>End.</div>') == f"Title\n{long}\nEnd.", name
+    assert page(f"<div class=sidebar-right><article><p>Short.</article><div class=ad>{LONG}</div></div>") == "Short."
+    assert page(f"<div class=widget><p>{LONG}<div class=comments><p>{LONG}{LONG}{LONG}</div></div>") == long
+
+
+def test_implied_end_tags():
+    long = LONG.strip()
+    assert main_text(f"<body><p class=notice>We use cookies<div><p>{LONG}</div>") == long
+    assert main_text(f"<table><tr><td class=sidebar>menu<td><article>{LONG}</article><tr><td class=ad>buy</table>") == long
+    assert main_text(f"<table><tr><td class=sidebar>menu<td><p>{LONG}</table>") == long
+    assert main_text(f"<dl><dt class=ad>buy<dd><p>{LONG}<dt>Term<dd>Meaning</dl>") == f"{long}\nTerm\nMeaning"
+    assert main_text(f"<ul><li class=ad>buy<li><p>{LONG}<ul><li>in</ul></ul>") == f"{long}\nin"
+
+
 def test_clusters():
     assert threshold([0, 0, 1, 10, 11]) > 1 and threshold([3, 3]) == 3
     assert max(smoothed([0, 0, 9, 0, 0])) < 9
