@@ -2,12 +2,16 @@
 
 Vectors of one label and length are dealt into shards of about ``shard_rows``; each shard
 becomes a hierarchical navigable small-world graph. All vectors of the label, in blocks,
-query every one of its shards: a greedy descent through the layers, a beam over the lowest
-one, then a walk along links whose ends are within reach. A sample of each block is held
-against brute force over the shard; while the recall of the links found is below
-``recall``, the beam and the reach are widened and the block is asked again (a beam as wide
-as the shard is brute force, so it ends). Links are verified by cosine in double precision
-and united into components.
+query every one of its shards: a descent through the layers, a beam over the lowest one,
+then a walk along links whose ends are within reach. A sample of each block is held against
+brute force over the shard, a query's match with itself left out. Queries are sampled by the
+number of links found, so that those beside dense groups do not stand for all, and the sample
+of those without any is widened until it holds a true link or ``AUDIT_CLEAR`` of them had none
+(by then at most 1 in 100 can have one, at 95 %). The recall is taken per query and separately
+for queries with few and with many true links; while one of them is below ``recall``, beam and
+reach are widened and the block is asked again. Where a beam of an eighth of the shard is not
+enough, the block is compared with the whole shard, so it ends. Links are verified by cosine
+in double precision and united into components.
 
 A block and shard pair returns one count per query and a spanning forest of its links,
 never the links themselves. Equal vectors are one vector with a weight.
@@ -33,8 +37,15 @@ from tablekit.llm.store import written
 LINKS = 24
 BASE_LINKS = 48
 BUILD_BEAM = 64
+#: Links across an upper layer, and starts that a search takes from one layer to the next.
+FAR = 6
+STARTS = 6
 BATCH = 512
+#: Queries without links that are audited before a block counts as one without rare links.
+AUDIT_CLEAR = 300
 AUDIT_ROWS = 48
+#: True links up to which a query counts as one with few.
+FEW = 8
 SLACK = 1e-5
 
 
@@ -57,16 +68,22 @@ class Graph:
         self._base(order, max(1, int((level >= 1).sum())))
 
     def _small(self, nodes):
-        """An upper layer: each node's nearest, exactly; a block of nodes at a time."""
+        """An upper layer: each node's nearest, exactly, and some links across the layer, so
+        that a dense group does not end the way; a block of nodes at a time."""
         import numpy as np
 
-        k = min(LINKS, len(nodes) - 1)
+        k = min(LINKS - FAR, len(nodes) - 1)
         links = np.full((len(self.x), LINKS), -1, np.int32)
+        if len(nodes) > LINKS:
+            links[nodes, LINKS - FAR :] = nodes[np.random.default_rng(len(nodes)).integers(0, len(nodes), (len(nodes), FAR))]
         for i in range(0, len(nodes), BATCH):
             sim = self.x[nodes[i : i + BATCH]] @ self.x[nodes].T
             sim[np.arange(len(sim)), np.arange(i, i + len(sim))] = -2
             if k > 0:
                 links[nodes[i : i + BATCH], :k] = nodes[np.argpartition(-sim, k - 1, axis=1)[:, :k]]
+        mine = np.sort(links[nodes], axis=1)  # no node twice
+        mine[:, 1:][mine[:, 1:] == mine[:, :-1]] = -1
+        links[nodes] = mine
         return nodes, links
 
     def _base(self, order, first: int) -> None:
@@ -178,8 +195,11 @@ class Graph:
 
         ids = np.full((len(q), 1), self.layers[0][0][0] if self.layers else self.start, np.int64)
         for _, links in self.layers:
-            ids, sim = self._walk(q, ids, links, 4)
-            ids = np.take_along_axis(ids, sim.argmax(axis=1)[:, None], axis=1)
+            ids, sim = self._walk(q, ids, links, 16)
+            best = np.argsort(-sim, axis=1, kind="stable")[:, :STARTS]
+            ids = np.take_along_axis(ids, best, axis=1)
+            while ids.shape[1] > 1 and (ids < 0).any():
+                ids = ids[:, :-1]
         return self._walk(q, ids, self.links, max(width, 1))
 
     def within(self, q, least: float, width: int, reach: float):
@@ -211,13 +231,13 @@ class Graph:
         return np.concatenate(out_q), np.concatenate(out_n)
 
 
-def search(graph: Graph, q, least: float, recall: float, width: int = 32, reach: float = 0.02):
-    """The links of a block of queries, asked again with a wider beam until the audit passes."""
+def search(graph: Graph, q, least: float, recall: float, own=None, width: int = 32, reach: float = 0.02):
+    """The links of a block of queries, asked again with a wider beam until the audit passes.
+    ``own`` is each query's own node, -1 where it is not in the graph."""
     import numpy as np
 
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(int))
-    truth = q[audit] @ graph.x.T >= least
-    n = truth.sum()
+    own = np.full(len(q), -1) if own is None else own
+    audit = Audit(graph, q, least, own)
     while True:
         a, b = [], []
         for i in range(0, len(q), BATCH):
@@ -225,12 +245,71 @@ def search(graph: Graph, q, least: float, recall: float, width: int = 32, reach:
             a.append(x + i)
             b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
-        place = np.full(len(q), -1)
-        place[audit] = np.arange(len(audit))
-        mine = place[a] >= 0
-        if n == 0 or truth[place[a][mine], b[mine]].sum() >= recall * n or width >= len(graph.x):
+        if audit.passes(a, b, recall):
             return a, b
-        width, reach = 2 * width, 2 * reach
+        width, reach = 4 * width, 2 * reach
+        if 8 * width > len(graph.x):
+            return audit.whole()
+
+
+class Audit:
+    """Holds samples of a block's links against brute force."""
+
+    def __init__(self, graph: Graph, q, least: float, own):
+        import numpy as np
+
+        self.graph, self.q, self.least, self.own = graph, q, least, own
+        self.order = np.random.default_rng(11).permutation(len(q))
+        self.truth: dict[int, set[int]] = {}
+
+    def _true(self, rows):
+        """The true links of each of the rows, itself left out; kept for later rounds."""
+        import numpy as np
+
+        new = np.array([r for r in rows if r not in self.truth], int)
+        for i in range(0, len(new), BATCH):
+            part = new[i : i + BATCH]
+            r, c = np.nonzero(self.q[part] @ self.graph.x.T >= self.least)
+            for x in part:
+                self.truth[int(x)] = set()
+            for x, y in zip(part[r].tolist(), c.tolist()):
+                if y != self.own[x]:
+                    self.truth[x].add(y)
+        return [self.truth[int(r)] for r in rows]
+
+    def passes(self, a, b, recall: float) -> bool:
+        import numpy as np
+
+        other = b != self.own[a]
+        a, b = a[other], b[other]
+        found = np.bincount(a, minlength=len(self.q))
+        hits: dict[bool, list] = {True: [0.0, 0.0], False: [0.0, 0.0]}  # few links? recall, queries
+        for low, high in ((0, 0), (1, FEW), (FEW + 1, len(self.graph.x))):
+            mine = self.order[(found[self.order] >= low) & (found[self.order] <= high)]
+            n = min(AUDIT_ROWS, len(mine))
+            while high == 0 and n < min(AUDIT_CLEAR, len(mine)) and not any(self._true(mine[:n])):
+                n = min(2 * n, AUDIT_CLEAR, len(mine))
+            pick = np.isin(a, mine[:n])
+            got: dict[int, set[int]] = {}
+            for x, y in zip(a[pick].tolist(), b[pick].tolist()):
+                got.setdefault(x, set()).add(y)
+            for x, true in zip(mine[:n].tolist(), self._true(mine[:n])):
+                if true:
+                    at = hits[len(true) <= FEW]
+                    at[0] += len(true & got.get(x, set())) / len(true) * len(mine) / n
+                    at[1] += len(mine) / n
+        return all(got >= recall * n for got, n in hits.values())
+
+    def whole(self):
+        """All links of the block, by comparison with the whole shard."""
+        import numpy as np
+
+        a, b = [], []
+        for i in range(0, len(self.q), BATCH):
+            r, c = np.nonzero(self.q[i : i + BATCH] @ self.graph.x.T >= self.least)
+            a.append(r + i)
+            b.append(c)
+        return np.concatenate(a), np.concatenate(b)
 
 
 def _table(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -280,7 +359,9 @@ def near_dups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         x = np.stack(pdf["v"].to_numpy())
         x = x / np.abs(x).max(axis=1, keepdims=True)
         q, who = x / np.linalg.norm(x, axis=1, keepdims=True), pdf["rep"].to_numpy()
-        a, b = search(graph, q.astype(np.float32), least - SLACK, recall)
+        place = {r: i for i, r in enumerate(rep.tolist())}
+        own = np.array([place.get(w, -1) for w in who.tolist()])
+        a, b = search(graph, q.astype(np.float32), least - SLACK, recall, own)
         exact = np.empty(len(a))
         for i in range(0, len(a), 1 << 16):
             exact[i : i + (1 << 16)] = np.einsum("id,id->i", q[a[i : i + (1 << 16)]], unit[b[i : i + (1 << 16)]])

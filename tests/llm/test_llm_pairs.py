@@ -205,3 +205,46 @@ def test_features_match_kernels_by_definition():
     p = langid.presence(texts, m, table)
     grams = [{f" {t} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)} for t in texts]
     assert (p @ p.T).tolist() == [[len(x & y) for y in grams] for x in grams]
+
+
+def _rare_links(groups, size, seed=1):
+    """Unit vectors of dense groups, isolated ones, and one near copy of 300 of these; the
+    rows of the near copies come second."""
+    r = np.random.default_rng(seed)
+    alone = r.normal(size=(400, 32))
+    near = [c + r.normal(size=(size, 32)) * 0.05 for c in r.normal(size=(groups, 32))]
+    x = np.concatenate([*near, alone, alone[:300] + r.normal(size=(300, 32)) * 0.03])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    order = r.permutation(len(x))
+    return x[order], np.nonzero(order >= len(x) - 300)[0]
+
+
+@pytest.mark.parametrize("groups,size", [(12, 250), (2, 1500)])
+def test_rare_links_beside_dense_groups(groups, size):
+    x, rare = _rare_links(groups, size)
+    q = np.concatenate([rare, np.setdiff1d(np.arange(len(x)), rare)[:1748]])
+    true = x[q] @ x.T >= 0.98
+    got = np.zeros_like(true)
+    a, b = hnsw.search(hnsw.Graph(x), x[q], 0.98, 0.98, q)
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
+    got[a, b] = True
+    true[np.arange(len(q)), q] = got[np.arange(len(q)), q] = False
+    assert not (got & ~true).any()
+    for rows in (slice(0, 300), slice(300, None)):
+        assert got[rows].sum() >= 0.98 * true[rows].sum()
+
+
+def test_audit_sees_what_a_poor_graph_misses():
+    x, rare = _rare_links(2, 400)
+    graph = hnsw.Graph(x)
+    plain = graph.within
+
+    def poor(q, least, width, reach):
+        """Every query's own node and the links of dense groups, never the rare ones."""
+        a, b = plain(q, least, width, reach)
+        keep = np.bincount(a, minlength=len(q))[a] > 8
+        return a[keep], b[keep]
+
+    graph.within = poor
+    a, b = hnsw.search(graph, x, 0.98, 0.98, np.arange(len(x)))
+    assert len(a) == (x @ x.T >= 0.98).sum()
