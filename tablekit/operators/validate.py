@@ -101,6 +101,26 @@ def schema_table(spark: SparkSession, df: DataFrame) -> DataFrame:
                                  "column_name string, kind string, position int")
 
 
+def column_counts(df: DataFrame) -> DataFrame:
+    """(column_name, n_rows, n_filled, n_castable) per column from one scan: rows, rows that
+    are not null, and rows whose value reads as a number."""
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for i, c in enumerate(df.columns):
+        q = "`" + c.replace("`", "``") + "`"
+        aggs += [F.count(F.expr(q)).alias(f"f{i}"), F.count(F.expr(f"try_cast(cast({q} as string) as double)")).alias(f"c{i}")]
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"f{i}").alias("n_filled"),
+                                       F.col(f"c{i}").alias("n_castable")) for i, c in enumerate(df.columns)]))
+    return df.agg(*aggs).select("n_rows", one.alias("x")).select("x.column_name", "n_rows", "x.n_filled", "x.n_castable")
+
+
+def with_counts(result: DataFrame, df: DataFrame, prefix: str = "") -> DataFrame:
+    """A table with one row per column name, with that column's counts in ``df`` beside it;
+    0 for columns that ``df`` does not have."""
+    names = ("n_rows", "n_filled", "n_castable")
+    c = column_counts(df).select("column_name", *[F.col(x).alias(prefix + x) for x in names])
+    return result.join(F.broadcast(c), "column_name", "left").fillna(0, [prefix + x for x in names])  # a row per column
+
+
 def schema_diff(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
     """V3: full outer join of the two schema tables.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablekit.operators import events as E
 from tablekit.operators import extras as X
+from tablekit.operators.validate import with_counts
 from tablekit.plans import sqlgen as S
 from tablekit.plans import views as V
 from tablekit.plans.feature_queries import round_doubles
@@ -16,6 +17,11 @@ from tablekit.session import table
 _PRED = "l_quantity * p_retailprice / 1000"
 
 
+def _type_consistency(s, d):
+    train, test = V.train_view(s, d), V.score_view(s, d)
+    return with_counts(with_counts(X.type_consistency(train, test), train, "train_"), test, "test_")
+
+
 def _with_prediction(s, d):
     return V.train_view(s, d).withColumn("prediction", F.expr(_PRED))
 
@@ -90,7 +96,7 @@ QUERIES = {
     "residual_profile": lambda s, d: X.residual_profile(_with_prediction(s, d), "target",
                                                         "prediction", "row_key"),
     "unseen_categories": _unseen,
-    "type_consistency": lambda s, d: X.type_consistency(table(s, d, "orders"), V.score_view(s, d)),
+    "type_consistency": _type_consistency,
     "collinear_drop": lambda s, d: X.collinear_drop(V.train_view(s, d), "target"),
     "rmsle": lambda s, d: X.rmsle(_with_prediction(s, d), "target"),
     "permutation_importance": _perm,
@@ -121,7 +127,15 @@ def _ntile_sql(order: str, k: int) -> str:
     return f"ntile({k}) over (order by {order})"
 
 
+_KINDS = {"row_key": "string", "l_quantity": "numeric", "l_discount": "numeric", "l_tax": "numeric",
+          "p_size": "numeric", "p_retailprice": "numeric", "p_brand": "string", "p_type": "string",
+          "o_orderpriority": "string", "o_orderstatus": "string", "last_dt": "datetime", "name": "string"}
+
 ORACLE = {
+    "type_consistency": duck_with("score_view") + S.with_counts(S.with_counts(
+        "select column_name, kind as train_kind, kind as test_kind, true as consistent from (values "
+        + ", ".join(f"('{c}', '{k}')" for c, k in _KINDS.items()) + ") v(column_name, kind)",
+        "train_view", _KINDS, "train_"), "score_view", _KINDS, "test_"),
     "frequency_encode": """select o_orderpriority, o_orderkey,
         count(*) over (partition by o_orderpriority) as o_orderpriority_freq from orders""",
     "winsorize": """select l_orderkey, l_linenumber,

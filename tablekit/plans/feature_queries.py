@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekit.operators import features as FE
+from tablekit.operators.validate import with_counts
 from tablekit.plans import sqlgen as S
 from tablekit.plans import views as V
 from tablekit.plans.views import duck_with
@@ -56,9 +57,10 @@ QUERIES = {
     "drop_columns": lambda s, d: FE.drop_columns(table(s, d, "lineitem"), ["l_tax", "l_comment"],
                                                  "l_extendedprice"),
     "drop_id_columns": lambda s, d: FE.drop_id_columns(table(s, d, "customer"), ["c_name", "name"]),
-    "split_by_type": lambda s, d: FE.split_by_type(table(s, d, "part")),
-    "require_columns": lambda s, d: FE.require_columns(table(s, d, "orders"),
-                                                       ["o_orderkey", "o_missing", "o_totalprice"]),
+    "split_by_type": lambda s, d: with_counts(FE.split_by_type(table(s, d, "part")), table(s, d, "part")),
+    "require_columns": lambda s, d: with_counts(
+        FE.require_columns(table(s, d, "orders"), ["o_orderkey", "o_missing", "o_totalprice"]),
+        table(s, d, "orders")),
     "filter_events": lambda s, d: FE.filter_events(V.event_log(s, d), "model_result", "Builder"),
     "filter_by_tag": lambda s, d: FE.filter_by_tag(V.chunks(s, d), "en").drop("tags"),
     "positive_subset": lambda s, d: FE.positive_subset(V.zero_view(s, d), "target"),
@@ -214,12 +216,13 @@ def _decisions_sql():
 ORACLE = {
     "drop_columns": "select * exclude (l_tax, l_extendedprice) from lineitem",
     "drop_id_columns": "select * exclude (c_name) from customer",
-    "split_by_type": """select * from (values ('p_partkey','numeric'), ('p_name','categorical'),
+    "split_by_type": S.with_counts("""select * from (values ('p_partkey','numeric'), ('p_name','categorical'),
       ('p_brand','categorical'), ('p_type','categorical'), ('p_size','numeric'),
-      ('p_retailprice','numeric')) v(column_name, kind)""",
-    "require_columns": """select * from (values ('o_orderkey', true, null),
+      ('p_retailprice','numeric')) v(column_name, kind)""", "part",
+        ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+    "require_columns": S.with_counts("""select * from (values ('o_orderkey', true, null),
       ('o_missing', false, 'column ''o_missing'' not found'), ('o_totalprice', true, null))
-      v(column_name, present, reason)""",
+      v(column_name, present, reason)""", "orders", S.ORDERS),
     "filter_events": duck_with("event_log") +
         "select * from event_log where event_type = 'model_result' and agent = 'Builder'",
     "filter_by_tag": duck_with("chunks") +

@@ -144,7 +144,7 @@ def _importance(s, d):
 
 def _tune(s, d):
     df = _model_table(s, d)
-    return _eager(M.tune_hyperparameters(df, LABEL, _features(df), KEY, "ridge", n_trials=5), df)
+    return _eager(M.tune_hyperparameters(df, LABEL, _features(df), KEY, "ridge"), df)
 
 
 def _batch_score(s, d):

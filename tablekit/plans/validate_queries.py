@@ -149,18 +149,23 @@ def _kind_sql(table_name, cols_kinds, rest):
         else 'categorical' end from ({S.union_all(parts)}) k"""
 
 
+def _schema_diff(s, d):
+    train, test = table(s, d, "orders"), table(s, d, "lineitem")
+    return VA.with_counts(VA.with_counts(VA.schema_diff(train, test, "o_totalprice"), train, "train_"), test, "test_")
+
+
 QUERIES = {
     "target_checks": lambda s, d: VA.target_checks(V.holes(s, d), "q_null"),
     "target_checks_fatal": lambda s, d: VA.target_checks(V.holes(s, d), "d_null"),
     "target_risk": lambda s, d: VA.target_risk(V.zero_view(s, d), "target"),
-    "schema_diff": lambda s, d: VA.schema_diff(table(s, d, "orders"), table(s, d, "lineitem"),
-                                               "o_totalprice"),
+    "schema_diff": _schema_diff,
     "feature_kind_map": lambda s, d: VA.feature_kind_map(table(s, d, "customer")),
     "feature_kind_map_documents": lambda s, d: VA.feature_kind_map(table(s, d, "documents")),
     "id_like_columns": lambda s, d: VA.id_like_columns(table(s, d, "orders")),
     "missingness_flags": lambda s, d: VA.missingness_flags(V.holes(s, d)),
     "constant_columns": lambda s, d: VA.constant_columns(V.holes(s, d)),
-    "leakage_by_name": lambda s, d: VA.leakage_by_name(V.train_view(s, d), "leaky"),
+    "leakage_by_name": lambda s, d: VA.with_counts(VA.leakage_by_name(V.train_view(s, d), "leaky"),
+                                                   V.train_view(s, d).select("target")),
     "leakage_by_correlation": lambda s, d: VA.leakage_by_correlation(V.train_view(s, d), "target"),
     "duplicate_rows": lambda s, d: VA.duplicate_rows(table(s, d, "documents").select("text", "lang")),
     "drop_candidates": lambda s, d: VA.drop_candidates(V.holes(s, d), "l_extendedprice"),
@@ -190,7 +195,7 @@ ORACLE = {
       union all
       select 'high_skew_target', 'medium', printf('skewness=%.2f', {S.skew('target')}),
              abs({S.skew('target')}) > 2 from zero_view) r where hit""",
-    "schema_diff": """with a as (select column_name, case when data_type in ('BIGINT','INTEGER','DOUBLE')
+    "schema_diff": S.with_counts(S.with_counts("""with a as (select column_name, case when data_type in ('BIGINT','INTEGER','DOUBLE')
           then 'numeric' when data_type = 'VARCHAR' then 'string' when data_type like 'TIMESTAMP%'
           then 'datetime' else 'other' end as kind, table_name from information_schema.columns),
       j as (select coalesce(t.column_name, s.column_name) as column_name, t.kind as train_kind,
@@ -203,7 +208,7 @@ ORACLE = {
       select column_name, train_kind, test_kind, status,
         (select count_if(status = 'missing_in_test') >
                 count_if(train_kind is not null and column_name <> 'o_totalprice') * 0.5 from k) as critical
-      from k""",
+      from k""", "orders", S.ORDERS, "train_"), "lineitem", _LI_COLS, "test_"),
     "feature_kind_map": _kind_sql("customer", [("c_custkey", "numeric"), ("c_nationkey", "numeric"),
                                                ("c_acctbal", "numeric")], ["c_name", "c_mktsegment"]),
     "feature_kind_map_documents": _kind_sql("documents", [("doc_id", "numeric"), ("n_chars", "numeric")],
@@ -211,8 +216,9 @@ ORACLE = {
     "id_like_columns": _id_like_sql("orders", ORDERS_COLS),
     "missingness_flags": duck_with("holes") + _missing_flags_sql("holes", HOLES_ALL, HOLES_FLOAT),
     "constant_columns": duck_with("holes") + _const_sql("holes", HOLES_ALL, HOLES_FLOAT),
-    "leakage_by_name": """select 'target' as column_name, 'suspicious_name' as risk, 'warning' as severity,
-      cast(null as varchar) as detail""",
+    "leakage_by_name": duck_with("train_view") + S.with_counts(
+        """select 'target' as column_name, 'suspicious_name' as risk, 'warning' as severity,
+      cast(null as varchar) as detail""", "train_view", ["target"]),
     "leakage_by_correlation": duck_with("train_view") + _leak_corr_sql(
         "train_view", "target", [c for c in TRAIN_NUMERIC if c != "target"]),
     "duplicate_rows": _dup_sql("documents", ["text", "lang"]),
