@@ -1,12 +1,16 @@
 """Registered modelling queries (M1-M22, S4, S9) and SQL twins where the result
 is SQL-expressible (split, folds, metrics, review and report tables).
 
-Model-fitting queries run with a quick tree profile (few, shallow trees) so the
-registered check stays short; the operators' defaults are the full settings.
+Queries that fit trees run with a quick profile (few, shallow trees), as a full one takes
+minutes to hours even on small tables (README, with seconds); the operators' defaults are the
+full settings.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablekit.operators import events as E
@@ -78,14 +82,18 @@ def _review_decisions(s, d):
     return M.review_feature_decisions(_DECISIONS, leak, hc, pz, ["last_dt"])
 
 
-def _holdout_metrics(name):
+def _holdout_metrics(*names):
+    """Holdout metrics of the named models, a row for each."""
     def run(s, d):
         df = _model_table(s, d)
         sp = M.holdout_split(df, KEY)
         tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-        fitted, enc, prep = M.fit_once(tr, LABEL, _features(df), KEY, name, **QUICK)
-        return _eager(M.regression_metrics(M.predict_with(fitted, enc, prep, te), LABEL).withColumn(
-            "model", F.lit(name)), df)
+        parts = []
+        for name in names:
+            fitted, enc, prep = M.fit_once(tr, LABEL, _features(df), KEY, name, **QUICK)
+            parts.append(M.regression_metrics(M.predict_with(fitted, enc, prep, te), LABEL)
+                         .withColumn("model", F.lit(name)))
+        return _eager(reduce(DataFrame.unionByName, parts), df)
     return run
 
 
@@ -95,15 +103,14 @@ def _zero_model(name):
         sp = M.holdout_split(z, KEY)
         tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
         fitted, enc, prep = M.fit_once(tr, LABEL, ["hour", "dow", "k", "user_id"], KEY, name, **QUICK)
-        return M.regression_metrics(M.predict_with(fitted, enc, prep, te, 0.0, 1e12), LABEL).withColumn(
+        return M.regression_metrics(M.predict_with(fitted, enc, prep, te), LABEL).withColumn(
             "model", F.lit(name))
     return run
 
 
 def _ridge_coefficients(s, d):
     df = _model_table(s, d)
-    feats = [c for c in FE.numeric_columns(df) if c not in (LABEL,)]
-    prep = M.fit_preprocess(df, feats)
+    prep = M.fit_preprocess(df, _features(df))
     mat = M.assemble(prep.transform(df), prep.feature_names)
     lr = M.fit_ridge(mat, LABEL).models[0]
     rows = [(n, float(c)) for n, c in zip(prep.feature_names, lr.coefficients.toArray())]
@@ -139,7 +146,7 @@ def _compare(s, d):
 
 def _importance(s, d):
     df = _model_table(s, d)
-    return _eager(M.feature_importance(df, LABEL, _features(df), KEY, 10, **{**QUICK, "maxIter": 8}), df)
+    return _eager(M.feature_importance(df, LABEL, _features(df), KEY, **QUICK), df)
 
 
 def _tune(s, d):
@@ -215,7 +222,7 @@ QUERIES = {
     "fit_ridge": _ridge_coefficients,
     "fit_random_forest": _holdout_metrics("random_forest"),
     "fit_gbt": _holdout_metrics("gradient_boosting"),
-    "fit_boosted_variants": _holdout_metrics("xgboost"),
+    "fit_boosted_variants": _holdout_metrics(*M.BOOSTED),
     "fit_classifier": _classifier,
     "fit_ensemble": _holdout_metrics("ensemble"),
     "fit_two_stage": _zero_model("two_stage"),
