@@ -78,3 +78,24 @@ def group_positions(df: DataFrame, group_cols: list[str], order_cols: list[str],
                   .join(offsets, ["__pid", *g])      # one row per (partition, group)
                   .withColumn(name, (F.col("__off") + F.col("__local") - 1).cast("bigint"))
                   .drop("__pid", "__local", "__off"))
+
+
+def running_min(df: DataFrame, group_cols: list[str], order_cols: list[str], col: str, name: str,
+                partitions: int | None = None) -> DataFrame:
+    """Least ``col`` among a row and those before it in its group (``order_cols`` unique within
+    a group; null values are passed over). As in ``group_positions`` a group is spread over
+    partitions by its order values: each takes the running minimum of its own rows, lowered
+    by the least of the group's earlier partitions (one row per partition and group)."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = list(group_cols)
+    ranged = materialize(df.repartitionByRange(n, *g, *order_cols).withColumn("__pid", F.spark_partition_id()))
+    least = ranged.groupBy("__pid", *g).agg(F.min(col).alias("__least"))
+    before = Window.partitionBy(*g).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = least.select("__pid", *[F.col(c).alias(f"__g{i}") for i, c in enumerate(g)], F.min("__least").over(before).alias("__carry"))
+    same = F.col("r.__pid") == F.col("c.__pid")
+    for i, c in enumerate(g):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"c.__g{i}"))
+    local = Window.partitionBy("__pid", *g).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = ranged.withColumn("__own", F.min(col).over(local))
+    return (own.alias("r").join(carry.alias("c"), same)
+               .select(*[F.col(f"r.{c}") for c in df.columns], F.least("__own", "__carry").alias(name)))

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablekit.functions.joins import running_min
+
 # Payload schemas per event type (DDL strings).
 PAYLOAD_SCHEMAS = {
     "model_result": ("model string, cv_mse_mean double, cv_mse_std double, cv_rmse_mean double, "
@@ -201,12 +203,11 @@ def metric_trajectory(events: DataFrame) -> DataFrame:
 
 
 def running_best(events: DataFrame) -> DataFrame:
-    """E10 (series form): per model result the best MSE so far in its run."""
+    """E10 (series form): per model result the best MSE so far in its run. A run is spread
+    over partitions by time (``running_min``), so a busy one is in no single task."""
     mr = typed_events(events, "model_result").where(F.col("cv_mse_mean").isNotNull())
-    w = (Window.partitionBy("run_id").orderBy("timestamp", "event_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return mr.select("run_id", "event_id", "cv_mse_mean",
-                     F.min("cv_mse_mean").over(w).alias("best_so_far"))
+    series = mr.select("run_id", "event_id", "timestamp", "cv_mse_mean")
+    return running_min(series, ["run_id"], ["timestamp", "event_id"], "cv_mse_mean", "best_so_far").drop("timestamp")
 
 
 def plan_adherence(events: DataFrame) -> DataFrame:

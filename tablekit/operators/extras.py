@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablekit.functions.joins import bounded_broadcast, dense_index, group_positions
-from tablekit.functions.quantiles import value_quantiles
-from tablekit.functions.stats import clean, numeric_columns, safe_corr
+from tablekit.functions.joins import (bounded_broadcast, dense_index, group_positions,
+                                      materialize)
+from tablekit.functions.quantiles import value_counts_ranged, value_quantiles
+from tablekit.functions.stats import clean, numeric_columns
 from tablekit.operators.profile import iqr_fences
 
 
@@ -57,30 +58,54 @@ def near_constant(df: DataFrame, cols: list[str] | None = None, threshold: float
     return a.where(F.col("cv") < threshold).select("column_name", F.round("cv", 6).alias("cv"))
 
 
-def average_ranks(df: DataFrame, col: str, key: str, out: str) -> DataFrame:
-    """(key, average rank of ``col``): ties share the mean of their positions."""
-    x = df.select(key, clean(df, col).alias("__x")).where(F.col("__x").isNotNull())
-    pos = group_positions(x.withColumn("__g", F.lit(0)), ["__g"], ["__x", key], "__p")
-    spans = pos.groupBy("__x").agg(((F.min("__p") + F.max("__p")) / 2 + 1).alias(out))
-    return pos.join(spans, "__x").select(key, out)
+def _ranked(counts: DataFrame) -> DataFrame:
+    """Average ranks of the values of ``value_counts_ranged`` rows (keys, ``value``, ``c``,
+    ``pid``; key ``column_name``): ties share the mean of their positions. ``rank`` is taken
+    from the middle of the column's ranks, so that sums of its products do not cancel."""
+    totals = counts.groupBy("column_name", "pid").agg(F.sum("c").alias("t"))
+    by = Window.partitionBy("column_name")
+    before = by.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per column and partition
+    totals = totals.select("column_name", "pid", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("off"),
+                           F.sum("t").over(by).alias("n"))
+    up = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("off") + F.col("end")
+    return (counts.withColumn("end", F.sum("c").over(up)).join(totals, ["column_name", "pid"])
+                  .withColumn("rank", end - (F.col("c") - 1) / 2 - (F.col("n") + 1) / 2)
+                  .drop("end", "off", "n", "pid"))
 
 
 def spearman_leakage(df: DataFrame, target: str, key: str, threshold: float = 0.9) -> DataFrame:
-    """Spearman ρ (Pearson of average ranks) of each numeric feature with
-    the target; |ρ| > threshold flagged."""
+    """Spearman ρ (Pearson of average ranks over the rows that hold both) of each numeric
+    feature with the target; |ρ| > threshold flagged. Values are compared as doubles.
+
+    The shuffles do not depend on the number of columns. The target's ranks are joined to the
+    rows; then one grouping by (column, value) counts each value and adds up the target's
+    ranks beside it, so a hot value collapses in its map task, and the values' own ranks come
+    from one range partitioning of these groups: all of a group's rows share its rank."""
     feats = numeric_columns(df, exclude=(target, key))
-    # a row id (the key need not be unique); written once so every rank sees the same ids
-    from tablekit.functions.joins import materialize
-    df = materialize(df.withColumn("__rid", F.monotonically_increasing_id()))
-    key = "__rid"
-    ranks = average_ranks(df, target, key, "__ry")
-    for c in feats:
-        ranks = ranks.join(average_ranks(df, c, key, "__r_" + c), key, "left")
-    structs = [F.struct(F.lit(c).alias("column_name"),
-                        safe_corr(F.col("__r_" + c), F.col("__ry")).alias("rho")) for c in feats]
-    a = ranks.agg(F.array(*structs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
-    return a.select("column_name", F.round("rho", 4).alias("rho"),
-                    (F.abs("rho") > threshold).alias("leakage_suspect"))
+    src = df.select(clean(df, target).cast("double").alias("__y"), *[clean(df, c).cast("double").alias(c) for c in feats])
+    ys = value_counts_ranged(src.select(F.lit(target).alias("column_name"), F.col("__y").alias("value")), ["column_name"])
+    ranks = _ranked(ys).select(F.col("value").alias("__v"), F.col("rank").alias("__ry"))
+    j = src.join(bounded_broadcast(ranks), F.col("__y") == F.col("__v"), "left")
+    long = j.select("__ry", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value")) for c in feats])).alias("s"))
+    y = F.col("__ry")
+    groups = long.select("s.*", "__ry").where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("c"), F.count(y).alias("both"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
+        F.min(y).alias("least"), F.max(y).alias("most"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(groups.repartitionByRange(n, "column_name", "value").withColumn("pid", F.spark_partition_id()))
+    x, k = F.col("rank"), F.col("both")
+    sums = _ranked(ranged).where(k > 0).groupBy("column_name").agg(
+        F.sum(k).alias("n"), F.sum(k * x).alias("x"), F.sum(k * x * x).alias("xx"), F.sum("sy").alias("y"),
+        F.sum("syy").alias("yy"), F.sum(x * F.col("sy")).alias("xy"),
+        ((F.min(x) < F.max(x)) & (F.min("least") < F.max("most"))).alias("vary"))
+    xx, yy = (F.col(c + c) - F.col(c) * F.col(c) / F.col("n") for c in "xy")
+    rho = F.when(F.col("vary"), (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(xx * yy))
+    names = df.sparkSession.createDataFrame([(c,) for c in feats], "column_name string")
+    return names.join(F.broadcast(sums), "column_name", "left").select(       # a row per column
+        "column_name", F.round(rho, 4).alias("rho"), (F.abs(rho) > threshold).alias("leakage_suspect"))
 
 
 def group_features_full(df: DataFrame, group_col: str, cols: list[str],
@@ -254,20 +279,25 @@ def rmsle(df: DataFrame, label: str, pred: str = "prediction") -> DataFrame:
 
 def permutation_importance(df: DataFrame, score_fn, label: str, features: list[str],
                            key: str, seed: int = 42) -> DataFrame:
-    """Per feature, metric change when its column is permuted. The
-    permutation pairs row i with the row at the same position in a hash order
-    of the keys (a positional self-join, no driver shuffle)."""
-    from tablekit.operators.model import regression_metrics
-    base = regression_metrics(score_fn(df), label).first()["mse"]
+    """Per feature, increase of the mean squared error when its column is permuted.
+
+    Row i takes the value of the row at the same position in an md5 order of the (unique)
+    keys: one positional join carries all permuted columns. Each row is then scored once as it
+    is and once per feature, in one pass with one aggregate; ``score_fn`` adds
+    ``prediction`` and keeps the other columns."""
     a = dense_index(df, [key], "__i")
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    b = dense_index(df.select(key, *features).withColumn("__h", h), ["__h", key], "__i")
-    rows = []
-    for c in features:
-        shuffled = a.drop(c).join(b.select("__i", F.col(c)), "__i").drop("__i")
-        mse = regression_metrics(score_fn(shuffled), label).first()["mse"]
-        rows.append((c, float(mse - base)))
-    return df.sparkSession.createDataFrame(rows, "feature string, mse_increase double")
+    h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")))
+    b = dense_index(df.select(F.col(key), h.alias("__h"), *[F.col(c).alias(f"__p_{c}") for c in features]), ["__h", key], "__i")
+    j = a.join(b.select("__i", *[f"__p_{c}" for c in features]), "__i")
+    copies = j.select("*", F.explode(F.array(F.lit(None).cast("string"), *map(F.lit, features))).alias("__f"))
+    kept = [F.when(F.col("__f") == c, F.col(f"__p_{c}")).otherwise(F.col(c)).alias(c) if c in features else F.col(c)
+            for c in df.columns]
+    e = F.col("prediction") - F.col(label)
+    per = score_fn(copies.select(*kept, "__f")).groupBy("__f").agg(F.avg(e * e).alias("mse"))
+    # a row per feature
+    base = F.max(F.when(F.col("__f").isNull(), F.col("mse"))).over(Window.partitionBy(F.lit(0)))
+    return (per.select(F.col("__f").alias("feature"), F.round(F.col("mse") - base, 4).alias("mse_increase"))
+               .where(F.col("feature").isNotNull()))
 
 
 def polynomial_features(df: DataFrame, cols: list[str], degree: int = 2,

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablekit.functions.comoments import co_moments, pair_correlation
+from tablekit.functions.joins import bounded_broadcast, materialize
 from tablekit.functions.quantiles import column_quantiles
 from tablekit.functions.stats import (clean, is_missing, numeric_columns,
                                       other_columns, r2, r4, safe_corr,
@@ -105,17 +107,41 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
 
 
+#: Bytes of a value, in sevens, that go along with its hash to settle ties of counts.
+HEADS = 4
+
+
+def _heads(value: Column) -> list[Column]:
+    """The first bytes of a string as numbers that together sort as the string does."""
+    return [F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 7 * i + 1, 7)), 14, F.lit("0")), 16, 10).cast("bigint")
+            for i in range(HEADS)]
+
+
 def categorical_profile(df: DataFrame, columns: list[str] | None = None,
                         top: int = 5) -> DataFrame:
-    """A2: distinct count and the top values (count desc, value asc) per column."""
+    """A2: distinct count and the top values (count desc, value asc) per column.
+
+    Pass 1 counts by a 128-bit hash of the value, beside its first 28 bytes: no text is
+    shuffled, and the counts are fixed-width, so a hot value collapses in a hash map inside
+    its map task. By (count, first bytes) the first ``top`` and all that tie with the last of
+    them are candidates; pass 2 fetches the candidates' texts only, which settle the ties."""
     cols = columns or other_columns(df)
-    vc = value_counts(df, cols)
+    key = ["column_name", "a", "b"]
+    values = _unpivot_values(df, cols).select(
+        "column_name", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), F.col("value")).alias("b"), "value")
+    heads = [f"head{i}" for i in range(HEADS)]
+    counts = materialize(values.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("cnt"), *[F.max(h).alias(c) for c, h in zip(heads, _heads(F.col("value")))]))
+    # rank() <= k is planned as a partial WindowGroupLimit: each task keeps its own candidates
+    w = Window.partitionBy("column_name").orderBy(F.desc("cnt"), *heads)
+    candidates = counts.withColumn("r", F.rank().over(w)).where(F.col("r") <= top).select(*key, "cnt")
+    # the set of a candidate's texts has one member and, unlike first(), a hash aggregate
+    texts = (values.join(bounded_broadcast(candidates), key).groupBy(*key)
+                   .agg(F.max("cnt").alias("cnt"), F.collect_set("value")[0].alias("value")))
     w = Window.partitionBy("column_name").orderBy(F.desc("cnt"), F.asc("value"))
-    # rank <= k on row_number is planned as a partial WindowGroupLimit: each
-    # map task keeps only k rows per column before the shuffle.
-    topk = vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    nd = vc.groupBy("column_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
-    return topk.join(nd, "column_name").select(
+    topk = texts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    nd = counts.groupBy("column_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
+    return topk.join(F.broadcast(nd), "column_name").select(       # a row per column
         "column_name", "n_distinct", F.col("rank").cast("bigint").alias("rank"),
         "value", F.col("cnt").cast("bigint").alias("cnt"))
 
@@ -208,16 +234,26 @@ def factorize_target(df: DataFrame, target: str, order_by: str) -> DataFrame:
 
 
 def factorize_apply(df: DataFrame, target: str, codes: DataFrame) -> DataFrame:
-    from tablekit.functions.joins import bounded_broadcast
     return (df.join(bounded_broadcast(codes), F.col(target).cast("string") == F.col("value"), "left")
               .withColumn(target + "_code", F.coalesce(F.col("code"), F.lit(-1).cast("bigint")))
               .drop("value", "code"))
 
 
+#: Numeric columns up to which the pairs are expressions of one aggregate; beyond it their
+#: number (its square) would outgrow a plan, and co-moment matrices are added up instead.
+PAIR_COLUMNS = 24
+
+
 def multicollinear_pairs(df: DataFrame, target: str | None = None,
                          threshold: float = 0.9) -> DataFrame:
     """All feature pairs (i < j in schema order) with |r| > threshold."""
     cols = numeric_columns(df, exclude=(target,) if target else ())
+    if len(cols) > PAIR_COLUMNS:
+        r = F.abs(pair_correlation())
+        name = F.array(*map(F.lit, cols))
+        return (co_moments(df.select(*[clean(df, c).cast("double").alias(c) for c in cols]), cols)
+                .select(name[F.col("i")].alias("col1"), name[F.col("j")].alias("col2"), r.alias("r"))
+                .where(F.col("r") > threshold).select("col1", "col2", r4(F.col("r")).alias("corr")))
     x = {c: clean(df, c).cast("double") for c in cols}
     structs = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
                         safe_corr(x[a], x[b]).alias("r"))
@@ -350,7 +386,6 @@ def full_profile(df: DataFrame, target: str) -> DataFrame:
 
     The input is materialised once so the sections share a single scan.
     """
-    from tablekit.functions.joins import materialize
     src = materialize(df)
     num = numeric_profile(src)
     stats = ["mean", "std", "min", "p25", "p50", "p75", "max", "skew", "kurtosis"]

@@ -127,6 +127,20 @@ def _ntile_sql(order: str, k: int) -> str:
     return f"ntile({k}) over (order by {order})"
 
 
+def _permutation_sql(features):
+    mse = "avg((l_quantity * p_retailprice / 1000 - target) ** 2)"
+    a = {c: f"a.{c}" for c in ("l_quantity", "p_retailprice", "l_discount")}
+    each = []
+    for c in features:
+        v = a | {c: f"b.{c}"}
+        each.append(f"select '{c}' as feature, round(avg(({v['l_quantity']} * {v['p_retailprice']} / 1000 - a.target) ** 2) "
+                    f"- (select {mse} from train_view), 4) as mse_increase from a join b on a.i = b.i")
+    return _TV.rstrip() + f""",
+      a as (select *, row_number() over (order by row_key) as i from train_view),
+      b as (select *, row_number() over (order by md5('42-' || row_key), row_key) as i from train_view)
+      {S.union_all(each)}"""
+
+
 _KINDS = {"row_key": "string", "l_quantity": "numeric", "l_discount": "numeric", "l_tax": "numeric",
           "p_size": "numeric", "p_retailprice": "numeric", "p_brand": "string", "p_type": "string",
           "o_orderpriority": "string", "o_orderstatus": "string", "last_dt": "datetime", "name": "string"}
@@ -188,6 +202,7 @@ ORACLE = {
         from (select row_key, {_PRED} as p1, leaky / 1.01 as p2 from train_view) t,
              (select avg(({_PRED} - target) ** 2) as m1, avg((leaky / 1.01 - target) ** 2) as m2
               from train_view) m""",
+    "permutation_importance": _permutation_sql(["l_quantity", "p_retailprice", "l_discount"]),
     "cv_instability": duck_with("event_log") + r"""select model, round(avg(m), 4) as cv_mse_mean,
         round(stddev_pop(m), 4) as cv_mse_std, stddev_pop(m) > 0.2 * avg(m) as unstable
         from (select json_extract_string(o, '$.model') as model,
