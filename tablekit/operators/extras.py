@@ -185,7 +185,8 @@ def calendar_extras(df: DataFrame, col: str, prefix: str | None = None,
 
 def weighted_ensemble(preds: DataFrame, pred_cols: list[str], mses: list[float],
                       out: str = "prediction") -> DataFrame:
-    """1/MSE-weighted mean of member predictions."""
+    """1/MSE-weighted mean of member predictions (``model.out_of_fold`` gives these, and
+    ``model.member_errors`` their errors)."""
     w = [1.0 / m for m in mses]
     tot = sum(w)
     expr = sum((F.col(c) * (wi / tot) for c, wi in zip(pred_cols, w)), F.lit(0.0))
@@ -193,9 +194,9 @@ def weighted_ensemble(preds: DataFrame, pred_cols: list[str], mses: list[float],
 
 
 def stacking(oof: DataFrame, pred_cols: list[str], label: str) -> DataFrame:
-    """Ridge on out-of-fold member predictions; returns (member, weight)."""
-    from tablekit.operators.model import assemble, fit_ridge
-    m = fit_ridge(assemble(oof, pred_cols), label, alpha=1.0).models[0]
+    """Ridge on out-of-fold member predictions (``model.out_of_fold``); returns (member, weight)."""
+    from tablekit.operators.model import fit_stack
+    m = fit_stack(oof, label, pred_cols).models[0]
     rows = [(c, float(v)) for c, v in zip(pred_cols, m.coefficients.toArray())]
     rows.append(("intercept", float(m.intercept)))
     return oof.sparkSession.createDataFrame(rows, "member string, weight double")

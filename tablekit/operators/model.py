@@ -15,6 +15,7 @@ import json
 import math
 import os
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -27,7 +28,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablekit.functions.joins import bounded_broadcast
+from tablekit.functions.joins import bounded_broadcast, materialize
 from tablekit.functions.stats import (clean, clip, fold_of, numeric_columns,
                                       other_columns, r4, sample_skew)
 from tablekit.operators import features as FE
@@ -405,6 +406,87 @@ def cross_validate(df: DataFrame, label: str, features: list[str], key: str, mod
         "model string, cv_mse_mean double, cv_mse_std double, cv_rmse_mean double, fold_mse array<double>")
 
 
+@dataclass
+class Member:
+    """A model of an ensemble: its kind, its features and its parameters."""
+    model: str
+    features: list[str]
+    params: dict = field(default_factory=dict)
+
+
+def _fit_members(train: DataFrame, label: str, key: str, members: dict[str, Member]) -> dict[str, tuple]:
+    return {n: fit_once(train, label, m.features, key, m.model, **m.params) for n, m in members.items()}
+
+
+def member_predictions(fitted: dict[str, tuple], df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and a column of predictions for each member. Preprocessing overwrites feature
+    columns, so the row as it came travels in a struct and is unpacked for each member: no
+    join by key, which need not be unique."""
+    cur = df.select(*[F.col(c).alias(f"__k_{c}") for c in keep], F.struct(*df.columns).alias("__row"))
+    for name, (model, enc, prep) in fitted.items():
+        done = cur.columns
+        p = predict_with(model, enc, prep, cur.select("*", "__row.*"))
+        cur = p.select(*done, F.col("prediction").alias(name))
+    return cur.select(*[F.col(f"__k_{c}").alias(c) for c in keep], *fitted)
+
+
+def out_of_fold(df: DataFrame, label: str, key: str, members: dict[str, Member], k: int = N_FOLDS,
+                fold_col: str | None = None, parallelism: int = 2) -> DataFrame:
+    """The cross-fitting table: ``key``, ``label``, ``fold`` and per member a column
+    with the prediction of the model that did not see the row (encoders and preprocessing
+    included: they are fitted on the other folds too). ``fold_col`` takes folds as they are;
+    those without rows are passed over. Written once; the models are not kept."""
+    d = (df.withColumn("fold", F.col(fold_col)) if fold_col else kfold_assign(df, key, k, "fold")).persist()
+    folds = sorted(r["fold"] for r in d.select("fold").distinct().collect())
+
+    def one(f):
+        fitted = _fit_members(d.where(F.col("fold") != f), label, key, members)
+        return member_predictions(fitted, d.where(F.col("fold") == f), [key, label, "fold"])
+
+    if len(folds) < 2:
+        raise ValueError("out-of-fold predictions need rows in two folds at least")
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(inheritable_thread_target(one), folds)
+    out = materialize(reduce(DataFrame.unionByName, parts))
+    d.unpersist()
+    return out
+
+
+def member_errors(oof: DataFrame, label: str, names: list[str]) -> dict[str, float]:
+    """Mean squared error of each member's out-of-fold predictions, from one aggregate."""
+    row = oof.agg(*[F.avg((F.col(n) - F.col(label)) ** 2).alias(n) for n in names]).first()
+    return {n: row[n] for n in names}
+
+
+def fit_stack(oof: DataFrame, label: str, names: list[str], alpha: float = 1.0) -> Fitted:
+    """Ridge of the label on members' out-of-fold predictions (``stack`` assembles them)."""
+    return fit_ridge(assemble(oof, names), label, alpha)
+
+
+def nested_stacking(df: DataFrame, label: str, key: str, members: dict[str, Member], k: int = N_FOLDS,
+                    alpha: float = 1.0, parallelism: int = 2) -> DataFrame:
+    """D10, cross-fitted at both levels: ``key``, ``label``, ``fold``, the members' columns and
+    ``prediction``, the stack's. For each outer fold the stack's weights come from predictions
+    that are out of fold among the other folds' rows, and its members are fitted on those rows:
+    nothing that scores a row has seen it."""
+    d = kfold_assign(df, key, k, "fold").persist()
+    folds = sorted(r["fold"] for r in d.select("fold").distinct().collect())
+    names = list(members)
+
+    def one(f):
+        train = d.where(F.col("fold") != f)
+        inner = out_of_fold(train, label, key, members, fold_col="fold", parallelism=1)
+        stack = fit_stack(inner, label, names, alpha)
+        held = member_predictions(_fit_members(train, label, key, members), d.where(F.col("fold") == f), [key, label, "fold"])
+        return stack.predict(assemble(held, names)).drop("features")
+
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(inheritable_thread_target(one), folds)
+    out = materialize(reduce(DataFrame.unionByName, parts))
+    d.unpersist()
+    return out
+
+
 def prepared_folds(df: DataFrame, label: str, features: list[str], key: str, k: int = N_FOLDS,
                    parallelism: int = 2) -> list[tuple[DataFrame, DataFrame, bool]]:
     """Per fold the training and validation matrices (features, label) and whether the model

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablekit.operators import events as E
 from tablekit.operators import extras as X
+from tablekit.operators import model as M
 from tablekit.operators.validate import with_counts
 from tablekit.plans import sqlgen as S
 from tablekit.plans import views as V
@@ -26,19 +27,26 @@ def _with_prediction(s, d):
     return V.train_view(s, d).withColumn("prediction", F.expr(_PRED))
 
 
+#: Members of the registered ensembles: ridge models of different columns of the train view.
+_MEMBERS = {"by_order": M.Member("ridge", ["l_quantity", "l_discount"]),
+            "by_part": M.Member("ridge", ["p_retailprice", "p_size"])}
+_ALPHA = M.RIDGE_ALPHA
+
+
+def _oof(s, d):
+    tv = V.train_view(s, d).select("row_key", "target", *[c for m in _MEMBERS.values() for c in m.features])
+    return M.out_of_fold(tv, "target", "row_key", _MEMBERS)
+
+
 def _weighted(s, d):
-    tv = V.train_view(s, d).select("row_key", "target", F.expr(_PRED).alias("p1"),
-                                   (F.col("leaky") / 1.01).alias("p2"))
-    m = tv.agg(F.avg((F.col("p1") - F.col("target")) ** 2).alias("m1"),
-               F.avg((F.col("p2") - F.col("target")) ** 2).alias("m2")).first()
-    out = X.weighted_ensemble(tv, ["p1", "p2"], [m["m1"], m["m2"]])
+    oof = _oof(s, d)
+    errors = M.member_errors(oof, "target", list(_MEMBERS))
+    out = X.weighted_ensemble(oof, list(errors), list(errors.values()))
     return round_doubles(out.select("row_key", "prediction"))
 
 
 def _stacking(s, d):
-    tv = V.train_view(s, d).select("target", F.expr(_PRED).alias("p1"),
-                                   (F.col("leaky") / 1.01).alias("p2"))
-    return X.stacking(tv, ["p1", "p2"], "target")
+    return X.stacking(_oof(s, d), list(_MEMBERS), "target").select("member", F.round("weight", 4).alias("weight"))
 
 
 def _cv_results(s, d):
@@ -88,6 +96,7 @@ QUERIES = {
     "calendar_extras": lambda s, d: X.calendar_extras(
         table(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "order").drop(
         "o_orderdate"),
+    "out_of_fold": lambda s, d: round_doubles(_oof(s, d).drop("target")),
     "weighted_ensemble": _weighted,
     "stacking": _stacking,
     "cv_instability": _cv_results,
@@ -127,6 +136,26 @@ def _ntile_sql(order: str, k: int) -> str:
     return f"ntile({k}) over (order by {order})"
 
 
+def _oof_sql() -> str:
+    """``oof``: two ridge models of two standardised columns each, by their normal equations."""
+    ms = ["avg(target) as my"]
+    pred = []
+    for name, m in _MEMBERS.items():
+        a, b = m.features
+        z = {c: f"(t.{c} - s.m_{c}) / s.d_{c}" for c in (a, b)}
+        ms += [f"avg({c}) as m_{c}, stddev_pop({c}) as d_{c}, count(*) * covar_pop({c}, target) / stddev_pop({c}) as t_{c}" for c in (a, b)]
+        ms.append(f"count(*) * covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) as s_{name}")
+        det = f"((s.n + {_ALPHA}) ** 2 - s.s_{name} ** 2)"
+        pred.append(f"s.my + (((s.n + {_ALPHA}) * s.t_{a} - s.s_{name} * s.t_{b}) * {z[a]} "
+                    f"+ ((s.n + {_ALPHA}) * s.t_{b} - s.s_{name} * s.t_{a}) * {z[b]}) / {det} as {name}")
+    fold = "cast(cast('0x' || substr(md5('cv-' || row_key), 1, 8) as bigint) % 5 as integer)"
+    return _TV.rstrip() + f""",
+      t as (select *, {fold} as fold from train_view),
+      s as (select f.fold, count(*) as n, {", ".join(ms)} from t, (select distinct fold from t) f
+            where t.fold <> f.fold group by f.fold),
+      oof as (select t.row_key, t.target, t.fold, {", ".join(pred)} from t join s on t.fold = s.fold) """
+
+
 def _permutation_sql(features):
     mse = "avg((l_quantity * p_retailprice / 1000 - target) ** 2)"
     a = {c: f"a.{c}" for c in ("l_quantity", "p_retailprice", "l_discount")}
@@ -197,11 +226,19 @@ ORACLE = {
     "calendar_extras": """select o_orderkey, cast(dayofyear(o_orderdate) as integer) as order_dayofyear,
         cast(weekofyear(o_orderdate) as integer) as order_week,
         cast(month(o_orderdate) in (6, 7, 8) as integer) as order_peak_season from orders""",
-    "weighted_ensemble": _TV + f"""select row_key,
-        round(p1 * ((1 / m1) / (1 / m1 + 1 / m2)) + p2 * ((1 / m2) / (1 / m1 + 1 / m2)), 4) as prediction
-        from (select row_key, {_PRED} as p1, leaky / 1.01 as p2 from train_view) t,
-             (select avg(({_PRED} - target) ** 2) as m1, avg((leaky / 1.01 - target) ** 2) as m2
-              from train_view) m""",
+    "out_of_fold": _oof_sql() + """select row_key, fold, round(by_order, 4) as by_order,
+        round(by_part, 4) as by_part from oof""",
+    "weighted_ensemble": _oof_sql() + """select row_key,
+        round(by_order * ((1 / m1) / (1 / m1 + 1 / m2)) + by_part * ((1 / m2) / (1 / m1 + 1 / m2)), 4) as prediction
+        from oof, (select avg((by_order - target) ** 2) as m1, avg((by_part - target) ** 2) as m2 from oof) m""",
+    "stacking": _oof_sql() + """, m as (select count(*) as n, avg(by_order) as m1, avg(by_part) as m2, avg(target) as my,
+          n * var_pop(by_order) + 1 as s11, n * var_pop(by_part) + 1 as s22, n * covar_pop(by_order, by_part) as s12,
+          n * covar_pop(by_order, target) as t1, n * covar_pop(by_part, target) as t2 from oof),
+        w as (select *, (s22 * t1 - s12 * t2) / (s11 * s22 - s12 * s12) as w1,
+                     (s11 * t2 - s12 * t1) / (s11 * s22 - s12 * s12) as w2 from m)
+        select 'by_order' as member, round(w1, 4) as weight from w
+        union all select 'by_part', round(w2, 4) from w
+        union all select 'intercept', round(my - w1 * m1 - w2 * m2, 4) from w""",
     "permutation_importance": _permutation_sql(["l_quantity", "p_retailprice", "l_discount"]),
     "cv_instability": duck_with("event_log") + r"""select model, round(avg(m), 4) as cv_mse_mean,
         round(stddev_pop(m), 4) as cv_mse_std, stddev_pop(m) > 0.2 * avg(m) as unstable
