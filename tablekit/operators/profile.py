@@ -407,7 +407,7 @@ def full_profile(df: DataFrame, target: str) -> DataFrame:
                            F.lit("missing_pct").alias("stat"), F.col("missing_pct").alias("value"),
                            F.lit(None).cast("string").alias("label")))
     td = target_distribution(src, target)
-    tstats = ["mean", "median", "std", "min", "max", "skew", "pct_zero"]
+    tstats = ["mean", "median", "std", "min", "max", "skew", "pct_zero", "p25", "p50", "p75", "p90", "p95"]
     parts.append(td.select(F.lit("target").alias("section"), F.col("target_column").alias("column_name"),
                            F.explode(F.array(*[F.struct(F.lit(s).alias("stat"),
                                                         F.col(s).cast("double").alias("value"))
@@ -422,6 +422,16 @@ def full_profile(df: DataFrame, target: str) -> DataFrame:
     parts.append(oc.select(F.lit("outliers").alias("section"), "column_name",
                            F.lit("outlier_pct").alias("stat"), F.col("outlier_pct").alias("value"),
                            F.lit(None).cast("string").alias("label")))
+    mp = multicollinear_pairs(src, target)
+    parts.append(mp.select(F.lit("collinear").alias("section"), F.col("col1").alias("column_name"),
+                           F.lit("corr").alias("stat"), F.col("corr").alias("value"), F.col("col2").alias("label")))
+    cr = complete_row_count(src)
+    parts.append(cr.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("stat"), v.cast("double").alias("value")) for n, v in
+        (("total_rows", F.col("total_rows")), ("complete_rows", F.col("complete_rows")),
+         ("columns", F.lit(len(src.columns))))])).alias("kv")).select(
+            F.lit("shape").alias("section"), F.lit(None).cast("string").alias("column_name"), "kv.stat", "kv.value",
+            F.lit(None).cast("string").alias("label")))
     er = encoding_recommendation(src, target)
     parts.append(er.select(F.lit("encoding").alias("section"), "column_name",
                            F.lit("n_distinct").alias("stat"),

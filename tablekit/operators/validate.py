@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablekit.functions.joins import materialize
 from tablekit.functions.stats import (NUMERIC_TYPES, clean, is_missing, r4,
                                       safe_corr, sample_skew)
 from tablekit.operators.profile import distinct_counts
@@ -54,7 +55,7 @@ def target_checks(df: DataFrame, target: str) -> DataFrame:
     a = df.agg(F.count(F.lit(1)).alias("n"), F.count(raw).alias("n_present"),
                F.count(num).alias("n_num"), F.stddev_samp(num).alias("sd"))
     n, pres, nnum, sd = F.col("n"), F.col("n_present"), F.col("n_num"), F.col("sd")
-    null_frac = (n - nnum) / n
+    null_frac = F.try_divide(n - nnum, n)
     reason = (F.when(n == 0, "train table is empty")
               .when(nnum < pres, "target is not numeric and cannot be coerced")
               .when(nnum == 0, "target column is entirely NaN")
@@ -188,7 +189,7 @@ def id_like_columns(df: DataFrame, target: str | None = None) -> DataFrame:
     names = df.sparkSession.createDataFrame([(c, _id_name(c)) for c in cols],
                                             "column_name string, by_name boolean")
     j = (F.broadcast(names).join(nd, "column_name", "left").crossJoin(n)
-         .withColumn("u", F.coalesce(F.col("n_distinct"), F.lit(0)) / F.col("n_rows")))
+         .withColumn("u", F.coalesce(F.try_divide(F.col("n_distinct"), F.col("n_rows")), F.lit(0.0))))
     return (j.where(F.col("by_name") | (F.col("u") > 0.95))
              .select("column_name", F.lit("id_like_column").alias("risk"),
                      F.lit("medium").alias("severity"),
@@ -308,14 +309,29 @@ def drop_candidates(df: DataFrame, target: str | None = None) -> DataFrame:
     return u.groupBy("column_name").agg(F.min_by("reason", "o").alias("reason"))
 
 
+# The action that a finding recommends (%s: the column, or the rows to remove).
+ACTIONS = {
+    "high_skew_target": "consider log-transform for target",
+    "id_like_column": "drop '%s' from modeling features (ID-like)",
+    "all_missing": "drop '%s' (100%% NaN)",
+    "constant_column": "drop constant column '%s'",
+    "duplicate_rows": "deduplicate %s duplicate rows",
+}
+
+
 def validation_report(train: DataFrame, target: str, test: DataFrame | None = None) -> DataFrame:
-    """All rule rows plus a verdict row; ``can_proceed`` is false when any
-    row is critical. Columns: section, column_name, risk, severity, detail."""
-    spark = train.sparkSession
+    """The report's rows by section. ``summary``: rows of both tables, features; ``kinds``:
+    each feature's kind; a section per rule with its findings; ``drop``: candidates to drop with
+    the first reason; ``actions``: what the findings recommend; ``verdict``: ``can_proceed`` is
+    false when any finding is critical. Columns: section, column_name, risk, severity, detail.
+
+    The findings (a few rows per column) are written once; the verdict, the candidates and the
+    actions are read from them, so no rule runs twice."""
     # every rule is an aggregate over the same table: compute (join) it once
-    from tablekit.functions.joins import materialize
     train = materialize(train)
+    text = lambda c: F.lit(c).cast("string")
     v1 = target_checks(train, target)
+    missing = materialize(missingness_flags(train, target))      # a row per column
     parts = [
         v1.select(F.lit("target").alias("section"), F.lit(target).alias("column_name"),
                   F.lit("target_check").alias("risk"),
@@ -323,7 +339,7 @@ def validation_report(train: DataFrame, target: str, test: DataFrame | None = No
                   F.col("reason").alias("detail")),
         target_risk(train, target).withColumn("section", F.lit("target")),
         id_like_columns(train, target).withColumn("section", F.lit("id")),
-        missingness_flags(train, target).where(F.col("risk").isNotNull())
+        missing.where(F.col("risk").isNotNull())
         .select("column_name", "risk", "severity", "detail").withColumn("section", F.lit("missing")),
         constant_columns(train, target).withColumn("section", F.lit("constant")),
         leakage_by_name(train, target).withColumn("section", F.lit("leakage")),
@@ -341,14 +357,33 @@ def validation_report(train: DataFrame, target: str, test: DataFrame | None = No
                               .otherwise("high").alias("severity"),
                              F.lit(None).cast("string").alias("detail")))
     cols = ["section", "column_name", "risk", "severity", "detail"]
-    rules = reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
+    rules = materialize(reduce(DataFrame.unionByName, [p.select(*cols) for p in parts]))
+    info = lambda section, name, risk, detail: [
+        F.lit(section).alias("section"), name.alias("column_name"), risk.alias("risk"),
+        F.lit("info").alias("severity"), detail.alias("detail")]
+    count = F.count(F.lit(1)).cast("string")
+    sizes = [("n_rows_train", train)] + ([("n_rows_test", test)] if test is not None else [])
+    summary = [t.agg(count.alias("n")).select(*info("summary", text(None), F.lit(n), F.col("n"))) for n, t in sizes]
+    summary.append(train.sparkSession.createDataFrame([(str(len(train.columns) - 1),)], "n string")
+                   .select(*info("summary", text(None), F.lit("n_features"), F.col("n"))))
+    kinds = feature_kind_map(train, target).select(*info("kinds", F.col("column_name"), F.col("kind"), text(None)))
+    reasons = rules.where(F.col("risk").isin("id_like_column", "constant_column")).select(
+        "column_name", "risk", F.when(F.col("risk") == "id_like_column", 1).otherwise(3).alias("o")).unionByName(
+        missing.where("drop_candidate").select("column_name", F.lit("all_missing").alias("risk"), F.lit(2).alias("o")))
+    drops = reasons.groupBy("column_name").agg(F.min_by("risk", "o").alias("r")).select(
+        *info("drop", F.col("column_name"), F.col("r"), text(None)))
+    found = reasons.select("column_name", "risk", F.col("column_name").alias("what")).unionByName(
+        rules.where(F.col("risk").isin("high_skew_target", "duplicate_rows")).select(
+            "column_name", "risk", F.regexp_extract("detail", r"^\d+", 0).alias("what")))
+    advice = F.coalesce(*[F.when(F.col("risk") == r, F.format_string(t, "what") if "%s" in t else F.lit(t))
+                          for r, t in ACTIONS.items()])
+    actions = found.select(*info("actions", F.col("column_name"), F.col("risk"), advice))
     verdict = rules.agg(F.bool_and(F.col("severity") != "critical").alias("ok")).select(
         F.lit("verdict").alias("section"), F.lit(None).cast("string").alias("column_name"),
         F.lit("can_proceed").alias("risk"),
         F.when(F.col("ok"), "ok").otherwise("critical").alias("severity"),
         F.col("ok").cast("string").alias("detail"))
-    _ = spark
-    return rules.unionByName(verdict)
+    return reduce(DataFrame.unionByName, [*summary, kinds, rules, drops, actions, verdict])
 
 
 def mandatory_drops(df: DataFrame, target: str) -> DataFrame:

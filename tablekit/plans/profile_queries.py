@@ -210,7 +210,8 @@ def _full_profile_sql() -> str:
     tstats = [("mean", "round(avg(target),4)"), ("median", "round(quantile_cont(target,0.5),4)"),
               ("std", "round(stddev_samp(target),4)"), ("min", "min(target)"), ("max", "max(target)"),
               ("skew", f"round({S.skew('target')},4)"),
-              ("pct_zero", "round(count_if(target = 0) / count(*) * 100, 2)")]
+              ("pct_zero", "round(count_if(target = 0) / count(*) * 100, 2)"),
+              *[(f"p{p}", f"round(quantile_cont(target, {p / 100}), 2)") for p in (25, 50, 75, 90, 95)]]
     target = S.union_all([f"select 'target', 'target', '{n}', cast({e} as double), cast(null as varchar) "
                           f"from {src}" for n, e in tstats])
     enc_kinds = [("row_key", "string"), ("leaky", "number"), ("l_quantity", "number"),
@@ -219,6 +220,11 @@ def _full_profile_sql() -> str:
                  ("o_orderpriority", "string"), ("o_orderstatus", "string"), ("name", "string")]
     nd = _distinct_sql(src, [c for c, _ in enc_kinds])
     kinds = ", ".join(f"('{c}','{k}')" for c, k in enc_kinds)
+    feats = [c for c, _ in num if c != "target"]
+    pairs = S.union_all([f"select '{a}' as col1, '{b}' as col2, abs({S.corr(a, b)}) as r from {src}"
+                         for i, a in enumerate(feats) for b in feats[i + 1:]])
+    full = " and ".join(f"({c} is not null and not isnan({c}))" if fl else f"{c} is not null"
+                        for c, fl in [*num, *[(c, False) for c in cat]])
     return duck_with("train_view").rstrip() + f""",
       np as ({_num_profile_sql(src, num)}),
       cp as ({_cat_profile_sql(src, cat)}),
@@ -242,6 +248,14 @@ def _full_profile_sql() -> str:
       union all
       select 'outliers', column_name, 'outlier_pct', outlier_pct, cast(null as varchar) from oc
       union all
+      select 'collinear', col1, 'corr', round(r, 4), col2 from ({pairs}) pr where r > 0.9
+      union all
+      select 'shape', null, 'total_rows', cast(count(*) as double), null from {src}
+      union all
+      select 'shape', null, 'complete_rows', cast(count_if({full}) as double), null from {src}
+      union all
+      select 'shape', null, 'columns', {float(len(num) + len(cat))}, null
+      union all
       select 'encoding', column_name, 'n_distinct', cast(n_distinct as double), recommendation from en"""
 
 

@@ -127,9 +127,37 @@ def _validation_report_sql():
         select column_name, 'missing_in_test' as status from (values ('leaky')) v(column_name)) s
     """
     return duck_with("train_view", "score_view").rstrip() + f""",
-      rules as ({rules})
+      rules as ({rules}),
+      reasons as (
+        select column_name, risk, case risk when 'id_like_column' then 1 else 3 end as o from rules
+        where risk in ('id_like_column', 'constant_column')
+        union all
+        select column_name, 'all_missing', 2 from ({_missing_flags_sql(src, feats, TRAIN_FLOAT)}) m where drop_candidate)
+      select 'summary' as section, cast(null as varchar) as column_name, 'n_rows_train' as risk, 'info' as severity,
+             cast(count(*) as varchar) as detail from {src}
+      union all
+      select 'summary', null, 'n_rows_test', 'info', cast(count(*) as varchar) from score_view
+      union all
+      select 'summary', null, 'n_features', 'info', '{len(feats)}'
+      union all
+      select 'kinds', column_name, kind, 'info', null from (
+        {_kind_sql(src, [(c, "numeric") for c in num_feats] + [("last_dt", "datetime")],
+                   [c for c in feats if c not in num_feats and c != "last_dt"])}) kd
+      union all
       select * from rules
       union all
+      select 'drop', column_name, arg_min(risk, o), 'info', null from reasons group by column_name
+      union all
+      select 'actions', column_name, risk, 'info',
+             case risk when 'id_like_column' then 'drop ' || chr(39) || column_name || chr(39) || ' from modeling features (ID-like)'
+                       when 'all_missing' then 'drop ' || chr(39) || column_name || chr(39) || ' (100% NaN)'
+                       else 'drop constant column ' || chr(39) || column_name || chr(39) end from reasons
+      union all
+      select 'actions', column_name, risk, 'info',
+             case risk when 'high_skew_target' then 'consider log-transform for target'
+                       else 'deduplicate ' || split_part(detail, ' ', 1) || ' duplicate rows' end
+      from rules where risk in ('high_skew_target', 'duplicate_rows')
+      union all
       select 'verdict', null, 'can_proceed',
              case when bool_and(severity <> 'critical') then 'ok' else 'critical' end,
              case when bool_and(severity <> 'critical') then 'true' else 'false' end from rules"""
