@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekit.functions.joins import materialize
+from tablekit.functions.joins import materialize, stored
 from tablekit.functions.stats import (NUMERIC_TYPES, clean, is_missing, r4,
                                       safe_corr, sample_skew)
 from tablekit.operators.profile import distinct_counts
@@ -247,14 +247,15 @@ def leakage_by_name(df: DataFrame, target: str) -> DataFrame:
 def leakage_by_correlation(df: DataFrame, target: str) -> DataFrame:
     """V9: |r| of median-imputed feature and target: > 0.98 high risk, > 0.90 warning.
 
-    Pass 1: medians (one row); pass 2: one aggregate of correlations over the
-    table joined to that single broadcast row.
+    The numeric columns are written once, as the table may be a join that each pass would
+    run again. Then medians (one row, a few passes), and one aggregate of correlations over
+    the columns joined to that single broadcast row.
     """
     cols = [c for c in _numeric_features(df, target) if not _name_suspect(c)]
     if not cols:
         return _empty_flags(df.sparkSession)
     allc = cols + [target]
-    src = df.select(*[clean(df, c).cast("double").alias(c) for c in allc])
+    src = stored(df.select(*[clean(df, c).cast("double").alias(c) for c in allc]), "leakage")
     from tablekit.operators.profile import median_row
     med = median_row(src, allc, "__m_")
     j = src.crossJoin(F.broadcast(med))
