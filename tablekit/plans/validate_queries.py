@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tablekit.functions.joins import stored
 from tablekit.operators import validate as VA
 from tablekit.plans import sqlgen as S
 from tablekit.plans import views as V
@@ -199,7 +200,7 @@ QUERIES = {
     "drop_candidates": lambda s, d: VA.drop_candidates(V.holes(s, d), "l_extendedprice"),
     "validation_report": lambda s, d: VA.validation_report(V.train_view(s, d), "target",
                                                            V.score_view(s, d)),
-    "mandatory_drops": lambda s, d: VA.mandatory_drops(V.train_view(s, d), "target"),
+    "mandatory_drops": lambda s, d: VA.mandatory_drops(stored(V.train_view(s, d), "train-view"), "target"),
 }
 
 _LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
