@@ -31,3 +31,9 @@ def test_postings_are_counted_in_place(spark, tmp_path, monkeypatch):
     index = S.SegmentedIndex.build(words, str(tmp_path / "words"), use_bm25=False)
     got = {r["term"]: r["tf"] for r in index.postings.collect()}
     assert got == {"wthe": 2, "wcat": 2, "wsat": 1, "wthe cat": 2, "wcat the": 1, "wcat sat": 1, "gen": 1}
+
+
+
+def test_model_table_is_written(spark, sf_small):
+    df = MQ._model_table(spark, sf_small)
+    assert "Join" not in plan_of(df) and "InMemoryTableScan" not in plan_of(df)
