@@ -37,3 +37,11 @@ def test_postings_are_counted_in_place(spark, tmp_path, monkeypatch):
 def test_model_table_is_written(spark, sf_small):
     df = MQ._model_table(spark, sf_small)
     assert "Join" not in plan_of(df) and "InMemoryTableScan" not in plan_of(df)
+
+
+
+def test_predictions_move_without_other_columns(spark):
+    scored = spark.range(9).select(F.col("id").alias("key"), F.lit("wide").alias("other"), (F.col("id") * 2.0).alias("prediction"))
+    out = M.predictions_frame(scored, ["key"])
+    assert "other" not in plan_of(out)
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(i, i * 2.0) for i in range(9)]
