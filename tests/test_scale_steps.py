@@ -13,7 +13,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-
 def test_postings_are_counted_in_place(spark, tmp_path, monkeypatch):
     plans = {}
     write = S._written
@@ -33,12 +32,19 @@ def test_postings_are_counted_in_place(spark, tmp_path, monkeypatch):
     assert got == {"wthe": 2, "wcat": 2, "wsat": 1, "wthe cat": 2, "wcat the": 1, "wcat sat": 1, "gen": 1}
 
 
-
 def test_model_table_is_written(spark, sf_small):
     df = MQ._model_table(spark, sf_small)
     assert "Join" not in plan_of(df) and "InMemoryTableScan" not in plan_of(df)
 
 
+def test_folds_are_written(spark, monkeypatch):
+    seen = []
+    fit = M._fit_members
+    monkeypatch.setattr(M, "_fit_members", lambda train, *a: (seen.append(plan_of(train)), fit(train, *a))[1])
+    rows = spark.range(60).select(F.concat(F.lit("r"), "id").alias("key"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") * 1.5).alias("y"))
+    out = M.out_of_fold(rows, "y", "key", {"m": M.Member("ridge", ["x"])}, k=2)
+    assert out.count() == 60 and all("InMemoryTableScan" not in p for p in seen)
+
 
 def test_predictions_move_without_other_columns(spark):
     scored = spark.range(9).select(F.col("id").alias("key"), F.lit("wide").alias("other"), (F.col("id") * 2.0).alias("prediction"))
