@@ -1,6 +1,7 @@
 """Quality cascade, secret ledger and line templates against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -160,6 +161,41 @@ def test_sentences_that_open_alike_and_rows_of_numbers_stay(spark):
     assert sorted(r.text for r in lines.dedup(repeated).collect()) == ["", "one two three", "one two three", "other words here"]
 
 
+def test_leaves_group_lines_by_similarity(spark):
+    near = "The weekly letter of the town reports that %s"
+    fell = ["rain fell on all fields", "rain fell on some fields", "snow fell on all roads", "rain fell on all fields"]
+    docs = [(i, near % x + f"\nown words {chr(97 + i)}") for i, x in enumerate([*fell, "snow lay over those hills", "sun shone from clear skies"])]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    # two documents hold the first line, so it founds; two others agree with it in three of five tokens or more
+    assert [tuple(r) for r in lines.templates(df, similarity=0.6).collect()] == [(near % "<*> fell on <*> <*>", 4)]
+    similar = lines.dedup(df, similarity=0.6, exact=False).collect()
+    assert {r.doc_id: r.text for r in similar} == {i: t.split("\n")[1] if i in (1, 2, 3) else t for i, t in docs}
+    assert {r.doc_id: r.n_dropped for r in lines.dedup(df, similarity=0.8, exact=False).collect()} == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+    assert {r.doc_id: r.text for r in lines.dedup(df, similarity=0.6).collect()} == plain_dedup(docs, 3, 3) == dict(docs)
+
+
+def agreement(x, y):
+    return sum(p == q != "<*>" for p, q in zip(x, y)) / len(x)
+
+
+def test_groups_of_a_large_leaf(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LINES_AT_ONCE", 50)
+    rng = random.Random(4)
+    words = [[f"{chr(97 + p)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)] for p in range(6)]
+    tails = sorted({tuple(rng.choice([w[0], rng.choice(w), "<*>"]) for w in words) for _ in range(700)})
+    rows = [(b, i, i % 7, " ".join([str(3 + len(t)), "o", "p", "q", *t])) for b in (1, 2) for i, t in enumerate(tails[: 700 // b])]
+    rows += [(3, 1, 1, "3 o p q"), (4, 1, 1, "4 o p q r"), (4, 2, 1, "4 o p q s")]
+    found = lines.groups(spark.createDataFrame(rows, "b long, a long, n long, line string"), 3, 0.5).collect()
+    group = {(r.b, r.a): r.g for r in found}
+    assert len(found) == len(group) == len(rows)
+    for b in (1, 2):
+        founders = sorted({g for (x, _), g in group.items() if x == b})
+        assert 1 < len(founders) < len(tails) and all(group[b, g] == g for g in founders)
+        assert all(agreement(tails[x], tails[y]) < 0.5 for x in founders for y in founders if x != y)
+        assert all(g == a or agreement(tails[a], tails[g]) >= 0.5 for (x, a), g in group.items() if x == b)
+    assert group[3, 1] == group[4, 1] == 1 and group[4, 2] == 2
+
+
 def test_no_python_on_native_paths(spark, sf_small):
     for key in ("op3_quality", "op4_secrets", "op9_lines", "op13_urls"):
         plan = QUERIES[key](spark, sf_small)._jdf.queryExecution().toString()
