@@ -24,3 +24,11 @@ def test_boosted_variants_run_their_own_settings(spark, given, monkeypatch):
     monkeypatch.setattr(M, "fit_gbt", lambda df, label, profile, **own: (seen.update({profile: own}), whole(df, label, profile, maxIter=1, maxDepth=1))[1])
     assert {r["model"] for r in Q.QUERIES["fit_boosted_variants"](spark, "").collect()} == set(M.BOOSTED)
     assert seen == {m: {} for m in M.BOOSTED}
+
+
+def test_classifier_runs_its_own_settings(spark, monkeypatch):
+    z = spark.createDataFrame([(i, float(i % 3 == 0), i % 24, i % 7, i % 5, i % 11) for i in range(60)], "event_id long, target double, hour int, dow int, k int, user_id int")
+    monkeypatch.setattr(Q.V, "zero_view", lambda s, d: z)
+    seen, whole = [], M.fit_classifier
+    monkeypatch.setattr(M, "fit_classifier", lambda df, label, **own: (seen.append(own), whole(df, label, maxIter=1, maxDepth=1))[1])
+    assert Q.QUERIES["fit_classifier"](spark, "").first()["n"] == 60 and seen == [{}]
