@@ -32,3 +32,10 @@ def test_classifier_runs_its_own_settings(spark, monkeypatch):
     seen, whole = [], M.fit_classifier
     monkeypatch.setattr(M, "fit_classifier", lambda df, label, **own: (seen.append(own), whole(df, label, maxIter=1, maxDepth=1))[1])
     assert Q.QUERIES["fit_classifier"](spark, "").first()["n"] == 60 and seen == [{}]
+
+
+def test_training_runs_the_models_own_settings(spark, given, monkeypatch):
+    seen, whole = [], M.fit_gbt
+    monkeypatch.setattr(M, "fit_gbt", lambda df, label, profile, **own: (seen.append((profile, own)), whole(df, label, profile, maxIter=1, maxDepth=1))[1])
+    assert Q.QUERIES["train_and_evaluate"](spark, "").first()["model"] == "gradient_boosting"
+    assert seen == [("gradient_boosting", {})] * 6  # the holdout split and five folds
