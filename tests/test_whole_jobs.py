@@ -39,3 +39,27 @@ def test_training_runs_the_models_own_settings(spark, given, monkeypatch):
     monkeypatch.setattr(M, "fit_gbt", lambda df, label, profile, **own: (seen.append((profile, own)), whole(df, label, profile, maxIter=1, maxDepth=1))[1])
     assert Q.QUERIES["train_and_evaluate"](spark, "").first()["model"] == "gradient_boosting"
     assert seen == [("gradient_boosting", {})] * 6  # the holdout split and five folds
+
+
+def test_all_models_are_compared_at_their_own_settings(spark, given, monkeypatch):
+    seen, whole = [], M.fit_ridge
+    monkeypatch.setattr(M, "fit_model", lambda name, df, label, **own: (seen.append((name, own.keys() - {"known"})), whole(df, label))[1])
+    out = Q.QUERIES["compare_models"](spark, "").collect()
+    assert {r["model"] for r in out} == set(M.MODELS) and {r["error"] for r in out} == {None}
+    assert sorted(n for n, _ in seen) == sorted(M.MODELS * 6) and not any(own for _, own in seen)
+
+
+def test_ensemble_takes_the_members_already_fitted(table):
+    d = M.prepare(table, "target", ["a", "c"], "row_key").matrix
+    quick = {"maxIter": 2, "maxDepth": 2}
+    known = {m: M.fit_gbt(d, "target", m, **quick) for m in M.BOOSTED[:2]}
+    one, two = M.fit_ensemble(d, "target", **quick), M.fit_ensemble(d, "target", known=known, **quick)
+    assert two.models[:2] == [known[m].models[0] for m in M.BOOSTED[:2]]
+    assert [r["prediction"] for r in one.predict(d).collect()] == [r["prediction"] for r in two.predict(d).collect()]
+
+
+def test_saved_model_is_that_of_the_holdout_split(spark, table):
+    from tablekit.session import scratch_path
+    path = scratch_path(spark, "model")
+    row = M.train_and_evaluate(table, "target", ["a", "c"], "row_key", "gradient_boosting", 3, path, maxIter=2, maxDepth=2).first()
+    assert M.evaluate_saved_model(spark, path, table, "target", "row_key").first()["mse"] == row["holdout_mse"]
