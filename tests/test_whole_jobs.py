@@ -63,3 +63,16 @@ def test_saved_model_is_that_of_the_holdout_split(spark, table):
     path = scratch_path(spark, "model")
     row = M.train_and_evaluate(table, "target", ["a", "c"], "row_key", "gradient_boosting", 3, path, maxIter=2, maxDepth=2).first()
     assert M.evaluate_saved_model(spark, path, table, "target", "row_key").first()["mse"] == row["holdout_mse"]
+
+
+def test_encode_and_log_gives_both_tables_with_all_columns(spark, given):
+    out = Q.QUERIES["encode_and_log"](spark, "")
+    assert out.columns == ["row_key", "target", "a", "c", "p_brand", "split", "log_applied"]
+    train, test = (out.where(F.col("split") == x).collect() for x in ("train", "test"))
+    assert len(train) == len(test) == given.count() and {r["target"] for r in test} == {None}
+    gm = given.agg(F.avg("target")).first()[0]
+    mean = {r["p_brand"]: (r["s"] + 20 * gm) / (r["n"] + 20) for r in given.groupBy("p_brand").agg(F.sum("target").alias("s"), F.count("target").alias("n")).collect()}
+    key = {r["row_key"]: r["p_brand"] for r in given.collect()}
+    assert all(r["p_brand"] == pytest.approx(mean[key[r["row_key"]]]) for r in test)  # all rows' statistics
+    assert any(r["p_brand"] != pytest.approx(mean[key[r["row_key"]]]) for r in train)  # out of fold
+    assert {r["c"] for r in test} == {"x", "y", "z"}
