@@ -1,5 +1,7 @@
 """Registered modelling queries run the operators' whole jobs."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,26 +80,38 @@ def test_encode_and_log_gives_both_tables_with_all_columns(spark, given):
     assert {r["c"] for r in test} == {"x", "y", "z"}
 
 
-def test_matrix_of_a_tree_learner_is_read_in_tasks_of_so_many_rows(spark, table, monkeypatch):
+def test_large_matrix_is_read_in_tasks_of_so_many_rows(spark, table, monkeypatch):
     monkeypatch.setattr(M, "TASK_ROWS", 30)
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    seen, whole = [], M.dealt
-    monkeypatch.setattr(M, "dealt", lambda df: (seen.append((df, df.rdd.getNumPartitions())), whole(df))[1])
-    p = M.prepare(table.coalesce(1), "target", ["a", "c"], "row_key")
+    put = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}  # small files go together
+    before = {k: spark.conf.get(k, None) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    try:
+        seen, whole = [], M.dealt
+        monkeypatch.setattr(M, "dealt", lambda df: (seen.append((df, df.rdd.getNumPartitions())), whole(df))[1])
+        p = M.prepare(table.coalesce(1), "target", ["a", "c"], "row_key")
+        assert p.matrix.rdd.getNumPartitions() == 1
+        M.fit_gbt(p.matrix, "target", maxIter=1, maxDepth=1)
+        M.fit_random_forest(p.matrix, "target", numTrees=1, maxDepth=1)
+        M.fit_classifier(p.matrix, "target", maxIter=1, maxDepth=1)
+        assert [n for _, n in seen] == [4, 4, 4]  # a file of 30 rows each, no shuffle
+        assert spark.conf.get("spark.sql.files.openCostInBytes") == "0"
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_small_matrix_keeps_its_partitions(table, monkeypatch):
+    p = M.prepare(table, "target", ["a", "c"], "row_key")
+    assert p.matrix.storageLevel.useMemory and p.matrix.rdd.getNumPartitions() == 2
+    monkeypatch.setattr(M, "file_a_task", None)  # not asked for
     M.fit_gbt(p.matrix, "target", maxIter=1, maxDepth=1)
-    M.fit_random_forest(p.matrix, "target", numTrees=1, maxDepth=1)
-    M.fit_classifier(p.matrix, "target", maxIter=1, maxDepth=1)
-    assert [n for _, n in seen] == [4, 4, 4]  # a file of 30 rows each, no shuffle
-    assert all(whole(df) is df for df, _ in seen[:2])
-    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
-    # rows that are not stored are dealt by a shuffle
-    assert whole(table.coalesce(1)).rdd.getNumPartitions() == 4
 
 
 def test_written_matrices_are_deleted_behind_their_fits(table, monkeypatch):
-    import os
     made, whole = [], M.stored
+    monkeypatch.setattr(M, "TASK_ROWS", 5)
     monkeypatch.setattr(M, "stored", lambda *a: (made.append(whole(*a)), made[-1])[1])
     M.cross_validate(table, "target", ["a", "c"], "row_key", "gradient_boosting", 3, maxIter=1, maxDepth=1)
-    paths = [t._stored_at for t in made if hasattr(t, "_stored_at")]
-    assert len(paths) == 3 and not any(os.path.exists(p) for p in paths)
+    paths = [t._stored_at for t in made]
+    assert len(paths) == 4 and not any(os.path.exists(p) for p in paths)  # the folds and three matrices
